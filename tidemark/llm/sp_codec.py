@@ -10,6 +10,7 @@ merge can cross such a place; what repeats between cuts is looked up.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import clean_text
 
 SPACE = "▁"
+_MARKS = ".,;:!?\"')]}\n"
 #: Entries of a worker's tables before they start afresh, and the longest run that is looked up.
-_RUNS, _PAIRS, _LONGEST = 200_000, 1_000_000, 48
+_RUNS, _PAIRS, _LONGEST = 300_000, 1_000_000, 48
 
 
 class Codec:
@@ -45,11 +47,15 @@ class Codec:
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            if self.merge(p) == [p]:  # others never come out of merging
+                self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), p[:1] if len(p) > 1 else None) for p in self.ids}
+        whole = set(self.automaton)
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in whole), p[:1] if len(p) > 1 else None) for p in whole}
+        self.packed = {p: i.to_bytes(4, sys.byteorder) for p, i in self.ids.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.runs = _Runs(self)
+        self.tails: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces by merging the best-scored neighbours, leftmost first, until none merge."""
@@ -74,42 +80,48 @@ class Codec:
     def backtrack(self, text: str) -> list[str]:
         """The pieces of text; characters without a piece stand alone."""
         n = len(text)
-        longest = list(text)
-        for end, p in self.automaton.iter(text):
-            start = end + 1 - len(p)
-            if len(p) > len(longest[start]):
-                longest[start] = p
-        failed = bytearray(n // 8 + 1)  # one bit for each position from which no encoding goes on
+        greedy = [p for _, (_, p) in self.automaton.iter_long(text)]  # mostly nothing has to be taken back
+        pairs, compatible = self.pairs, self.compatible
+        if sum(map(len, greedy)) == n:
+            for pair in zip(greedy, greedy[1:], strict=False):
+                if not (pairs.get(pair) or compatible(*pair)):
+                    break
+            else:
+                return greedy
+        longest, lengths = list(text), [1] * n
+        for end, (k, p) in self.automaton.iter(text):
+            start = end + 1 - k
+            if k > lengths[start]:
+                longest[start], lengths[start] = p, k
+        failed = None  # one bit for each position from which no encoding goes on
         out: list[str] = []
-        pos, piece = 0, longest[0] if n else ""
-        shorter, compatible = self.shorter, self.compatible
+        last, pos, piece = None, 0, longest[0] if n else ""
+        shorter = self.shorter
         while pos < n:
             end = pos + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or compatible(out[-1], piece)):
+            if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (last is None or (pairs.get((last, piece)) or compatible(last, piece))):
                 out.append(piece)
-                pos = end
+                last, pos = piece, end
                 if pos < n:
                     piece = longest[pos]
             elif (less := shorter.get(piece)) is not None:
                 piece = less
             else:
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     raise ValueError("no encoding: the pieces aren't closed under merging")
                 piece = out.pop()
+                last = out[-1] if out else None
                 pos -= len(piece)
         return out
 
-    def to_ids(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            if (i := self.ids.get(p)) is not None:
-                out.append(i)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in p.encode("utf-8", "replace")]
-            else:
-                out.append(self.unknown)
-        return out
+    def pack(self, piece: str) -> bytes:
+        """The id of a piece, or those of the bytes of a character that has none."""
+        if (known := self.packed.get(piece)) is not None:
+            return known
+        return b"".join((self.byte_ids[b] if self.byte_ids else self.unknown).to_bytes(4, sys.byteorder) for b in (piece.encode("utf-8", "replace") if self.byte_ids else b"\0"))
 
     def encode_packed(self, text: str) -> bytes:
         """The ids of text as 32-bit numbers."""
@@ -127,8 +139,16 @@ class Codec:
             return b"".join(map(self.run_of, out))
         return b"".join(map(self.runs.__getitem__, words))
 
+    def tail(self, marks: str) -> bytes:
+        """Of marks after a word."""
+        if (known := self.tails.get(marks)) is None:
+            known = self.run_of(marks)
+            if len(self.tails) < 10_000:
+                self.tails[marks] = known
+        return known
+
     def run_of(self, run: str) -> bytes:
-        return np.array(self.to_ids(self.backtrack(run)), np.int32).tobytes()
+        return b"".join(map(self.pack, self.backtrack(run)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes of byte pieces join into characters, the space put before the text goes again."""
@@ -139,19 +159,21 @@ class Codec:
 
 
 class _Runs(dict):
-    """A word, as it follows a space, to its packed ids; starts afresh when it holds many words."""
+    """A word, as it follows a space, to its packed ids. When full, what was used since the last time stays one round more."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.before = codec, {}
 
     def __missing__(self, word: str) -> bytes:
-        codec, run = self.codec, SPACE + word
-        cuts = [0, *(i for i in range(1, len(run)) if run[i - 1] + run[i] not in codec.joined), len(run)]
-        if len(cuts) > 2:
-            value = b"".join(self.codec.run_of(run[a:b]) if a or b == len(run) else self[run[1:b]] if b > 1 else self.codec.run_of(SPACE) for a, b in zip(cuts, cuts[1:], strict=False))
-        else:
-            value = codec.run_of(run)
-        if len(self) > _RUNS:
+        if (value := self.before.get(word)) is None:
+            codec = self.codec
+            core = word if word.isalpha() else word.rstrip(_MARKS)
+            if len(core) < len(word) and core and core[-1] + word[len(core)] not in codec.joined:
+                value = self[core] + codec.tail(word[len(core) :])
+            else:
+                value = codec.run_of(SPACE + word)
+        if len(self) >= _RUNS:
+            self.before = dict(self)
             self.clear()
         if len(word) <= _LONGEST:
             self[word] = value

@@ -10,6 +10,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,19 +23,19 @@ from tidemark.llm.common import clean_text, held_out
 HASH_BITS = 20
 #: Bound of the sample of labelled rows that the classifier is fitted on, and rows for each learner.
 SAMPLE_ROWS, SHARD_ROWS = 40_000, 20_000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 1.5, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 _CACHE = 200_000
 
 
 class _WordHash(dict):
-    """Word to a 32-bit hash; starts afresh when it holds many words."""
+    """Word to a 32-bit hash; when it holds many words, others are hashed each time."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > _CACHE:
-            self.clear()
-        value = self[word] = zlib.crc32(word.encode("utf-8", "replace"))
+        value = zlib.crc32(word.encode("utf-8", "replace"))
+        if len(self) < _CACHE:
+            self[word] = value
         return value
 
 
@@ -42,7 +43,7 @@ def features(texts: list[str], cache: dict, bits: int = HASH_BITS) -> tuple[np.n
     """(document, coordinate) of the words, word pairs and pairs around one word of whole texts; repeats included."""
     words = [_WORD.findall(t.lower()) for t in texts]
     size = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter((cache[w] for ws in words for w in ws), np.uint64, size.sum())
+    h = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.uint64, size.sum())
     doc = np.repeat(np.arange(len(words)), size)
     mix, shift = np.uint64(0x9E37_79B9_7F4A_7C15), np.uint64(64 - bits)
     out = [((h + np.uint64(1)) * mix) >> shift]
