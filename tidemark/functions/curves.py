@@ -1,0 +1,38 @@
+"""Locality keys: Morton codes of two and three numbers, and clustering by them."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# fixed values: masks that spread 32 bits to every second of 64
+_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def _spread(x: Column) -> Column:
+    return reduce(lambda v, s: v.bitwiseOR(F.shiftleft(v, s[0])).bitwiseAND(F.lit(s[1])), _SPREAD, x.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def morton2(x: Column, y: Column) -> Column:
+    """128-bit code of two longs, x in even bits, as 32 upper-case hex digits (they sort as the codes do)."""
+    half = lambda a, b: _spread(a).bitwiseOR(F.shiftleft(_spread(b), 1))
+    high = half(F.shiftrightunsigned(x, 32), F.shiftrightunsigned(y, 32))
+    return F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(half(x, y)), 16, "0"))
+
+
+def fold_dims(dims: list[Column]) -> Column:
+    """One number from several integer dimensions: each shifted by its place (mod 8), joined by xor; nulls are left out."""
+    return reduce(lambda a, b: a.bitwiseXOR(b), [F.coalesce(F.shiftleft(d.cast("long"), i % 8), F.lit(0).cast("long")) for i, d in enumerate(dims)])
+
+
+def morton3(x: Column, y: Column, z: Column, bits: int = 20) -> Column:
+    """Code of three numbers of up to 20 bits each, x lowest, as a long."""
+    parts = [F.shiftleft(F.shiftright(v.cast("long"), i).bitwiseAND(F.lit(1)), 3 * i + k) for i in range(bits) for k, v in enumerate((x, y, z))]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+
+def cluster(df: DataFrame, path: str, x: Column, y: Column, files: int) -> None:
+    """Writes df with near values of x and y in the same files and row groups."""
+    df.withColumn("__key", morton2(x, y)).repartitionByRange(files, "__key").sortWithinPartitions("__key").drop("__key").write.parquet(path)

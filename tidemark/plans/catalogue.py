@@ -1,15 +1,338 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over the driver's tables, each with SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions.addressing import pack_blocks, slots_by_epoch
+from tidemark.functions.curves import fold_dims, morton2, morton3
+from tidemark.functions.states import span_offset
+from tidemark.operators.engine import Engine, Pipeline, unify_intervals
+from tidemark.sources.scratch import scratch
+from tidemark.sources.tables import table
+
 FLAGSHIP = "slice_mixed_tiers_range"
+# 2024-01-05 11:10:00 and 2024-01-12 14:30:05, 2024-01-01, 2024-02-01
+A, B, JAN, FEB = 1704453000, 1705069805, 1704067200, 1706745600
+_registered: dict[str, tuple[Callable, str | None]] = {}
+
+
+def query(sql: str | None) -> Callable:
+    def add(f: Callable) -> Callable:
+        _registered[f.__name__] = (f, sql)
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable]:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _registered.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _registered.items() if sql}
+
+
+def _events(spark: SparkSession, sf_dir: str, columns: list[str], frames: str = "1h,1d", tenant: tuple[str, ...] = ("event_type",), base: DataFrame | None = None) -> Engine:
+    engine = Engine(spark, scratch(spark, "events"))
+    engine.accelerate("events", table(spark, sf_dir, "events") if base is None else base, frames, list(tenant), columns, tie="event_id")
+    return engine
+
+
+def _r(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+_EPOCH = "epoch_us(ts)//1000000"
+_RANGE = f"{_EPOCH} >= {A} AND {_EPOCH} < {B}"
+
+
+@query(f"SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd FROM events WHERE {_RANGE} GROUP BY ALL")
+def slice_mixed_tiers_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir, ["value stats"])
+    return e.query("events", A, B, [("count", "*", "n"), ("sum", "value", "total"), ("avg", "value", "mean"), ("stddev", "value", "sd")], by=["event_type"]).select("event_type", "n", *_r("total", "mean", "sd"))
+
+
+@query("SELECT event_type, epoch_us(date_trunc('day', ts))//1000000 AS t, count(value) AS n, round(avg(value), 10) AS mean, round(coalesce(var_samp(value), 0), 4) AS variance, min(value) AS low, max(value) AS high, round(coalesce(kurtosis_pop(value), 0), 4) AS kurt FROM events GROUP BY ALL")
+def stats_by_type_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("value_moments")
+    from tidemark.functions.states import MOMENTS
+
+    tier = _events(spark, sf_dir, ["value stats"]).tier("events", "1d")
+    return tier.select("event_type", "t", s["n"].alias("n"), F.round(s["mean"], 10).alias("mean"), F.round(MOMENTS.finals["variance"](s), 4).alias("variance"), s["min"].alias("low"), s["max"].alias("high"), F.round(MOMENTS.finals["kurtosis"](s), 4).alias("kurt"))
+
+
+@query("SELECT event_type, epoch_us(date_trunc('day', ts))//1000000 AS t, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, round(sum(value), 6) AS volume FROM events GROUP BY ALL")
+def candle_by_type_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tier = _events(spark, sf_dir, ["value ohlcv as v"]).tier("events", "1d")
+    return tier.select("event_type", "t", "v.open", "v.high", "v.low", "v.close", F.round("v.volume", 6).alias("volume"))
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts))//1000000 AS t, round(sum(value), 6) AS total, count(*) AS n FROM events GROUP BY ALL")
+def bucket_1h_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value sum as s"], tenant=()).tier("events", "1h").select("t", F.round("s.s", 6).alias("total"), F.col("__rows").alias("n"))
+
+
+@query(f"SELECT count(*) AS n, round(sum(value), 6) AS total FROM events WHERE {_RANGE} AND event_type = 'click'")
+def slice_scope_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value stats"]).query("events", A, B, [("count", "*", "n"), ("sum", "value", "total")], scopes={"event_type": "click"}).select("n", *_r("total"))
+
+
+@query(f"SELECT event_type, count(*) AS n, max(value) AS high FROM events WHERE {_RANGE} AND event_type IN ('click', 'error') GROUP BY ALL")
+def slice_scope_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value stats"]).query("events", A, B, [("count", "*", "n"), ("max", "value", "high")], scopes={"event_type": ["click", "error"]}, by=["event_type"])
+
+
+@query(f"SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE {_RANGE} GROUP BY ALL")
+def slice_dirty_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir, ["value stats"], base=events.where("event_id % 97 <> 0"))
+    e.insert("events", events.where("event_id % 97 = 0"))
+    return e.query("events", A, B, [("count", "*", "n"), ("sum", "value", "total")], by=["event_type"]).select("event_type", "n", *_r("total"))
+
+
+@query("SELECT event_type, epoch_us(date_trunc('day', ts))//1000000 AS t, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def refresh_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir, ["value sum as s"], base=events.where("event_id % 97 <> 0"))
+    e.insert("events", events.where("event_id % 97 = 0"))
+    e.refresh("events")
+    return e.tier("events", "1d").select("event_type", "t", F.col("__rows").alias("n"), F.round("s.s", 6).alias("total"))
+
+
+@query("SELECT event_type, epoch_us(date_trunc('hour', ts))//1000000 AS t, count(*) AS n FROM events WHERE event_type <> 'error' OR ts < '2024-01-20' GROUP BY ALL")
+def delete_heals_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir, ["value sum as s"])
+    e.delete("events", (F.col("event_type") == "error") & (F.col("ts") >= "2024-01-20"))
+    e.refresh("events")
+    return e.tier("events", "1h").select("event_type", "t", F.col("__rows").alias("n"))
+
+
+@query("SELECT epoch_us(date_trunc('month', o_orderdate))//1000000 AS t, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
+def month_calendar_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, scratch(spark, "orders"))
+    e.accelerate("orders", table(spark, sf_dir, "orders"), "1d,1M", [], ["o_totalprice sum as s"])
+    return e.tier("orders", "1mo").select("t", F.col("__rows").alias("n"), F.round("s.s", 2).alias("total"))
+
+
+@query("SELECT o_orderpriority, epoch_us(date_trunc('year', o_orderdate))//1000000 AS t, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ALL")
+def quarter_year_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, scratch(spark, "orders"))
+    p = e.accelerate("orders", table(spark, sf_dir, "orders"), "1M,1Q,1Y", ["o_orderpriority"], ["o_totalprice stats"])
+    return e.tier("orders", p.frames[-1].name).select("o_orderpriority", "t", F.col("__rows").alias("n"), F.round("o_totalprice_moments.mean", 4).alias("mean"))
+
+
+@query(f"SELECT epoch_us(date_trunc('day', ts - INTERVAL 5 HOUR) + INTERVAL 5 HOUR)//1000000 AS bucket, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE {_EPOCH} >= {JAN} AND {_EPOCH} < {FEB} GROUP BY ALL")
+def tz_day_regroup_new_york(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value sum as s"], tenant=()).query("events", JAN, FEB, [("count", "*", "n"), ("sum", "value", "total")], grain="day", zone="America/New_York").select("bucket", "n", *_r("total"))
+
+
+@query(f"SELECT epoch_us(date_trunc('day', ts + INTERVAL 330 MINUTE) - INTERVAL 330 MINUTE)//1000000 AS bucket, count(*) AS n FROM events WHERE {_EPOCH} >= {JAN} AND {_EPOCH} < {FEB} GROUP BY ALL")
+def tz_half_hour_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value sum as s"], tenant=()).query("events", JAN, FEB, [("count", "*", "n")], grain="day", zone="Asia/Kolkata")
+
+
+@query(f"SELECT epoch_us(date_trunc('week', ts))//1000000 AS bucket, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE {_EPOCH} >= {JAN} AND {_EPOCH} < {FEB} GROUP BY ALL")
+def iso_week_from_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value sum as s"], tenant=()).query("events", JAN, FEB, [("count", "*", "n"), ("avg", "value", "mean")], grain="week").select("bucket", "n", *_r("mean"))
+
+
+@query("SELECT l_returnflag, epoch_us(date_trunc('year', l_shipdate))//1000000 AS t, round(sum(l_extendedprice * l_discount), 2) AS s FROM lineitem GROUP BY ALL")
+def product_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, scratch(spark, "lineitem"))
+    e.accelerate("lineitem", table(spark, sf_dir, "lineitem"), "1d,1Y", ["l_returnflag"], ["l_extendedprice product(l_extendedprice, l_discount) as s"])
+    return e.tier("lineitem", e.pipelines["lineitem"].frames[-1].name).select("l_returnflag", "t", F.round("s.s", 2).alias("s"))
+
+
+@query("WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, max(l_shipdate) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT epoch_us(date_trunc('month', o_orderdate))//1000000 AS t, CAST(epoch_us(max(e))//1000000 - epoch_us(date_trunc('month', o_orderdate))//1000000 AS INTEGER) AS span FROM o GROUP BY date_trunc('month', o_orderdate)")
+def range_max_end_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    spans = orders.join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("ends")), "o_orderkey")
+    e = Engine(spark, scratch(spark, "spans"))
+    e.accelerate("spans", spans.select("o_orderdate", "o_custkey", "ends"), "1d,1M", [], ["ends range_max_end as e"], time_column="o_orderdate")
+    return e.tier("spans", "1mo").select("t", span_offset(F.timestamp_micros("e"), F.col("t")).alias("span"))
+
+
+@query(f"SELECT event_type, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value FROM events WHERE {_RANGE} GROUP BY ALL")
+def first_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value ohlcv as v"]).query("events", A, B, [("first", "value", "first_value"), ("last", "value", "last_value")], by=["event_type"])
+
+
+@query(f"SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE {_RANGE} GROUP BY ALL")
+def percentile_disc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value sketch"]).query("events", A, B, [("median", "value", "p50"), ("p95", "value", "p95")], by=["event_type"])
+
+
+@query(None)
+def kll_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value sketch"]).query("events", A, B, [("approx_median", "value", "p50"), ("approx_p95", "value", "p95")], by=["event_type"])
+
+
+@query(f"SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE {_RANGE} AND value > 50 GROUP BY ALL")
+def filter_on_value_falls_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value stats"]).query("events", A, B, [("count", "*", "n"), ("sum", "value", "total")], by=["event_type"], where=F.col("value") > 50).select("event_type", "n", *_r("total"))
+
+
+@query(f"SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events WHERE {_RANGE} GROUP BY ALL")
+def group_by_other_column_falls_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value stats"]).query("events", A, B, [("count", "*", "n"), ("count_distinct", "event_type", "kinds")], by=["user_id"])
+
+
+@query(f"SELECT round(3 * sum(value) + 10 * count(value), 4) AS lifted FROM events WHERE {_RANGE}")
+def linear_lifting_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _events(spark, sf_dir, ["value sum as s"]).query("events", A, B, [("sum", "value", "s"), ("count", "value", "n")])
+    return got.select(F.round(3 * F.col("s") + 10 * F.col("n"), 4).alias("lifted"))
+
+
+@query("""WITH d AS (SELECT event_type, epoch_us(ts)//1000000//60*60 AS a FROM events WHERE event_id % 7 = 0 GROUP BY ALL),
+g AS (SELECT *, CASE WHEN a <= max(a + 60) OVER (PARTITION BY event_type ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS gap FROM d),
+n AS (SELECT *, sum(gap) OVER (PARTITION BY event_type ORDER BY a) AS k FROM g)
+SELECT event_type, min(a) AS start, max(a) + 60 AS "end" FROM n GROUP BY event_type, k""")
+def changelog_unify_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir, ["value sum as s"], frames="1m,1h")
+    return unify_intervals(e.touched("events", table(spark, sf_dir, "events").where("event_id % 7 = 0")), ["event_type"])
+
+
+@query("SELECT 'events' AS base, count(*) AS entries, CAST(sum(b - a) AS BIGINT) AS seconds, min(a) AS oldest, max(b) AS newest FROM (SELECT epoch_us(date_trunc('day', ts))//1000000 AS a, epoch_us(date_trunc('day', ts))//1000000 + 86400 AS b FROM events WHERE event_id = 5 GROUP BY ALL)")
+def status_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir, ["value sum as s"], frames="1d", base=events.where("event_id <> 5"))
+    e.insert("events", events.where("event_id = 5"))
+    return e.status(FEB).groupBy("base").agg(*(f(c).alias(c) for f, c in ((F.sum, "entries"), (F.sum, "seconds"), (F.min, "oldest"), (F.max, "newest"))))
+
+
+@query("SELECT event_type, epoch_us(date_trunc('hour', ts))//1000000 AS t, c AS \"column\" FROM events, (SELECT unnest(['sum(value)', 'count(value)', 'avg(value)']) AS c) WHERE event_id % 997 = 0 GROUP BY ALL")
+def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir, ["value sum as s"], base=events)
+    e._append(e.pipelines["events"], events.where("event_id % 997 = 0").withColumn("value", F.col("value") + 1000))
+    return e.validate("events", "1h", JAN, FEB).select("event_type", "t", "column")
+
+
+@query("SELECT 'events' AS base, unnest(['events_1h', 'events_1d']) AS view, 'value' AS \"column\", 'sum' AS formula, 's' AS alias")
+def available_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value sum as s"]).available_sources()
+
+
+@query("""SELECT event_id, upper(lpad(hex(list_reduce(list_prepend(0::UHUGEINT, list_transform(range(40), lambda i: (((epoch_us(ts)//1000000 >> i) & 1)::UHUGEINT << (2*i)::UHUGEINT) + (((user_id >> i) & 1)::UHUGEINT << (2*i+1)::UHUGEINT))), lambda a, b: a + b)), 32, '0')) AS code FROM events""")
+def zorder_int_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", morton2(F.unix_seconds("ts"), fold_dims([F.col("user_id")])).alias("code"))
+
+
+@query("SELECT l_orderkey, l_linenumber, list_reduce(list_prepend(0::BIGINT, list_transform(range(20), lambda i: (((l_partkey >> i) & 1) << (3*i)) + (((l_suppkey >> i) & 1) << (3*i+1)) + (((l_linenumber::BIGINT >> i) & 1) << (3*i+2)))), lambda a, b: a + b) AS code FROM lineitem")
+def zorder_3d_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", morton3(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")).alias("code"))
+
+
+@query("SELECT event_id, CASE WHEN s < 864000 THEN s * 16 + u ELSE 13824000 + (s - 864000) * 128 + u END AS slot FROM (SELECT event_id, epoch_us(ts)//1000000 - 1704067200 AS s, user_id % 16 AS u FROM events)")
+def timeline_epochs_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", (F.unix_seconds("ts") - JAN).alias("t"), (F.col("user_id") % 16).alias("tenant"))
+    epochs = spark.createDataFrame([(0, 16, 0), (864000, 128, 13824000)], "start long, scale long, base long")
+    return slots_by_epoch(rows, epochs).select("event_id", "slot")
+
+
+@query("SELECT epoch_us(ts)//1000000//86400 AS block, user_id AS tenant, count(*) AS points, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def block_pack_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.unix_seconds("ts").alias("t"), F.col("user_id").alias("tenant"), "value")
+    packed = pack_blocks(rows, 86400)
+    return packed.select("block", "tenant", F.size("points").cast("long").alias("points"), F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["value"]), 6).alias("total"))
+
+
+@query("SELECT c.o_custkey, a.n AS n_1995, b.n AS n_1996 FROM (SELECT DISTINCT o_custkey FROM orders) c JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY ALL) a USING (o_custkey) JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY ALL) b USING (o_custkey)")
+def join_two_tiers_on_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, scratch(spark, "orders"))
+    p = e.accelerate("orders", table(spark, sf_dir, "orders"), "1d,1Y", ["o_custkey"], ["o_totalprice sum as s"])
+    year = e.tier("orders", p.frames[-1].name)
+    of = lambda t, name: year.where(F.col("t") == t).select("o_custkey", F.col("__rows").alias(name))
+    return of(788918400, "n_1995").join(of(820454400, "n_1996"), "o_custkey")
+
+
+@query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def distinct_on_latest_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("r")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(latest).select("user_id", "r.*")
+
+
+@query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events")
+def window_running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return table(spark, sf_dir, "events").select("event_id", F.max("value").over(w).alias("before"))
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def semi_join_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return table(spark, sf_dir, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT n_name, count(c_custkey) AS customers, count(DISTINCT c_mktsegment) AS segments FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def left_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return joined.groupBy("n_name").agg(F.count("c_custkey").alias("customers"), F.count_distinct("c_mktsegment").alias("segments"))
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, l_suppkey LIMIT 10")
+def topk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(10)
+
+
+@query("SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS host, count(*) AS n, round(avg(length(html)), 4) AS size FROM pages GROUP BY ALL HAVING count(*) > 1")
+def regexp_host_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"))
+    return pages.agg(F.count("*").alias("n"), F.round(F.avg(F.length("html")), 4).alias("size")).where("n > 1")
+
+
+@query("SELECT CASE WHEN value < 20 THEN 'low' WHEN value < 100 THEN 'mid' ELSE 'high' END AS level, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events WHERE props LIKE '%k%' GROUP BY ALL")
+def case_filter_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("value") < 20, "low").when(F.col("value") < 100, "mid").otherwise("high").alias("level")
+    return table(spark, sf_dir, "events").where(F.col("props").like("%k%")).groupBy(level).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+@query("SELECT CAST(props->>'$.k' AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT i - 1 AS place, round(avg(embedding[i]), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY ALL")
+def array_explode_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("place", "x"))
+    return each.groupBy(F.col("place").cast("long").alias("place")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query("WITH b AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY ALL) SELECT o_custkey, round(s, 2) AS s FROM b WHERE s > (SELECT avg(s) FROM b)")
+def cte_scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_in")
+    return spark.sql("WITH b AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders_in GROUP BY o_custkey) SELECT o_custkey, round(s, 2) AS s FROM b WHERE s > (SELECT avg(s) FROM b)")
+
+
+@query("SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT l_returnflag, count(*) FROM lineitem GROUP BY ALL")
+def union_all_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda t, c: table(spark, sf_dir, t).groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n"))
+    return count("orders", "o_orderpriority").unionByName(count("lineitem", "l_returnflag"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS discount, count(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY ALL")
+def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count("*").alias("n"))
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts))//1000000 AS t, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def stream_foreachbatch_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.streaming.ingest import ingest
+
+    events = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir, ["value sum as s"], base=events.limit(0))
+    events.repartition(3).write.parquet(path := scratch(spark, "arrivals"))
+    arrivals = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    ingest(e, "events", arrivals, scratch(spark, "stream")).awaitTermination()
+    return e.tier("events", "1h").select("t", "event_type", F.col("__rows").alias("n"), F.round("s.s", 6).alias("total"))
