@@ -136,7 +136,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not languages:
         return LanguageFilter([], np.zeros(1 << FILTER_BITS, np.uint8), np.zeros(0))
     number = {lang: i for i, lang in enumerate(languages)}
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(some.select("id", "lang").distinct(), "id").where(F.col("lang").isin(languages))
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some.select("id", "lang").distinct()), "id").where(F.col("lang").isin(languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out("__id"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     taken = marks.withColumn("place", F.xxhash64("__id")).orderBy("place", "__id").limit(sample_rows)
-    sample = rows.join(taken, "__id")
+    sample = rows.join(F.broadcast(taken), "__id")  # sample_rows at most
     shards = max(1, math.ceil(taken.count() / SHARD_ROWS))
     sample = sample.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).select("text", "shard", "place", "toxic")
     learned = sample.mapInArrow(_rows_of_features, "shard int, place long, toxic int, at array<int>").groupBy("shard").applyInPandas(_train, "shard int, at long, w double")
