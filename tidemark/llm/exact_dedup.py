@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import clean_text, scratch
 
 #: Keys a bucket holds before it splits; bits beyond which it grows by overflow instead of splitting.
-BUCKET_KEYS, MAX_DEPTH = 50_000, 14
+BUCKET_KEYS, MAX_DEPTH = 8_000, 14
 #: Bytes of text that a task holds while it folds repeated texts of its own rows.
-FOLD_BYTES = 32 << 20
+FOLD_BYTES = 16 << 20
 
 
 def grow_directory(histogram: dict[int, int], capacity: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
@@ -65,7 +65,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, types = ("key", "text", "keep", "n", "n_keep"), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     held: dict[tuple, list] = {}
     size = 0
-    for batch in batches:
+    for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
         for key, i, text in zip(batch["key"].to_pylist(), batch["id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
             if (link := held.get((key, text))) is None:
                 held[key, text] = [i, 1, 1]
@@ -92,7 +92,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done.extend((*last, slot, sha, *link) for slot, (sha, link) in enumerate(chain.values()))
         chain.clear()
 
-    for batch in batches:
+    for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
         for bucket, key, sha, text, *link in zip(*(batch[c].to_pylist() for c in ("bucket", "key", "sha", "text", "keep", "n", "n_keep")), strict=True):
             if (bucket, key) != last:
                 close()

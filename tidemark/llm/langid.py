@@ -27,7 +27,7 @@ SHARE, LEAST = 0.005, 2
 FILTER_BITS, HASHES, LANGUAGES = 21, 3, 64
 #: Part of a text's n-grams, beyond chance, that its language must contain for the filter stage to keep it.
 LEAST_COVERED = 0.25
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18  # characters looked at together
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             texts = ["" if t is None else t for t in batch[text_col].to_pylist()]
             if m.languages:
                 share, total = m.shares(texts)

@@ -26,7 +26,7 @@ SAMPLE_ROWS, SHARD_ROWS = 40_000, 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 class _WordHash(dict):
@@ -67,10 +67,9 @@ def _by_document(texts: list[str], cache: dict) -> list[np.ndarray]:
 def _rows_of_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _WordHash()
     for batch in batches:
-        texts = batch["text"].to_pylist()
-        for a in range(0, len(texts), 256):
-            found = _by_document(texts[a : a + 256], cache)
+        for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
+            found = _by_document(part["text"].to_pylist(), cache)
             yield pa.record_batch([part["shard"], part["place"], part["toxic"], pa.array(found, pa.list_(pa.int32()))], ["shard", "place", "toxic", "at"])
 
 
@@ -128,7 +127,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
         dense[at] = w
         bias, dense[0] = dense[0], 0.0
         used, cache = dense != 0, _WordHash()
-        for batch in batches:
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             texts = ["" if t is None else t for t in batch[text_col].to_pylist()]
             logit = np.full(len(texts), bias)
             for a in range(0, len(texts), 256):
