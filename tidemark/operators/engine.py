@@ -320,8 +320,13 @@ class Engine:
         p = self.pipelines[name]
         f = next(x for x in p.frames if x.name == frame)
         keys = ["t", *p.scopes]
-        finals = [(s, n) for s in p.sources for n in FORMULAS[s.formula].finals if n in ("sum", "count", "avg", "variance")]
-        flat = lambda df, side: df.select(*keys, F.explode(F.create_map(*[x for s, n in finals for x in (F.lit(f"{n}({s.column})"), FORMULAS[s.formula].finals[n](F.col(s.alias)).cast("double"))])).alias("column", side))
+        finals: dict[str, tuple[Source, str]] = {}
+        for s in p.sources:
+            for n in FORMULAS[s.formula].finals:
+                if n in ("sum", "count", "avg", "variance"):
+                    label = f"{n}({s.column})"
+                    finals[label if label not in finals else f"{n}({s.alias})"] = (s, n)
+        flat = lambda df, side: df.select(*keys, F.explode(F.create_map(*[x for label, (s, n) in finals.items() for x in (F.lit(label), FORMULAS[s.formula].finals[n](F.col(s.alias)).cast("double"))])).alias("column", side))
         tier = flat(self.tier(name, frame).where((F.col("t") >= start) & (F.col("t") < end)), "tier")
         raw = flat(self._lift(p, self.raw(name).where((F.col("__t") >= start) & (F.col("__t") < end)), [f.bucket(F.col("__t")).alias("t"), *(F.col(c) for c in p.scopes)]), "raw")
         on = reduce(operator.and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "column"]])
