@@ -11,7 +11,8 @@ merge can cross such a place; what repeats between cuts is looked up.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -51,16 +52,28 @@ class Codec:
                 self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
         whole = set(self.automaton)
+        self.halves = {p: tuple(self.merge(p, 2)) for p in whole if len(p) > 1}
+        order = {s: k for k, s in enumerate(sorted({self.score[p] for p in self.ids}, reverse=True))}
+        self.rank = {p: order[self.score[p]] for p in self.ids}  # merges of a smaller rank come first
+        self.made = {p: self.rank[p] if p in self.halves else -1 for p in whole}
+        #: Pieces that rank before a piece they are made of: their merges can't be undone one by one.
+        self.tangled: set[str] = set()
+        for p in sorted(self.halves, key=len):
+            if any(h in self.tangled or self.made.get(h, -1) >= self.made[p] for h in self.halves[p]):
+                self.tangled.add(p)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in whole), p[:1] if len(p) > 1 else None) for p in whole}
         self.packed = {p: i.to_bytes(4, sys.byteorder) for p, i in self.ids.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: defaultdict[str, dict[str, bool]] = defaultdict(dict)  # by the left piece
+        self.known_pairs = 0
         self.runs = _Runs(self)
         self.tails: dict[str, bytes] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces by merging the best-scored neighbours, leftmost first, until none merge."""
+    def merge(self, text: str, least: int = 1) -> list[str]:
+        """Pieces by merging the best-scored neighbours, leftmost first, until none merge or `least` are left."""
         parts, score = list(text), self.score
         while True:
+            if len(parts) <= least:
+                return parts
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
@@ -70,36 +83,58 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def stands(self, left: str, right: str) -> bool:
+        """Whether merging left + right from its characters gives these two pieces again.
+
+        Undoes the merges of both, the last first: a merge across the border that would have come before
+        the one undone would have been made in its place.
+        """
+        if left[-1] + right[0] not in self.joined:
+            return True
+        if left in self.tangled or right in self.tangled:
+            return self.merge(left + right) == [left, right]
+        rank, made, halves = self.rank, self.made, self.halves
+        before, a, b = len(rank), made.get(left, -1), made.get(right, -1)
+        while True:
+            if rank.get(left + right, before) < before:
+                return False
+            if a > b:
+                before, left = a, halves[left][1]
+                a = made.get(left, -1)
+            elif b >= 0:  # of two equal merges the left one is made first
+                before, right = b + 1, halves[right][0]
+                b = made.get(right, -1)
+            else:
+                return True
+
     def compatible(self, left: str, right: str) -> bool:
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > _PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = (left[-1] + right[0] not in self.joined) or self.merge(left + right) == [left, right]
+        if self.known_pairs >= _PAIRS:
+            self.pairs.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        known = self.pairs[left][right] = self.stands(left, right)
         return known
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces of text; characters without a piece stand alone."""
-        n = len(text)
-        greedy = [p for _, (_, p) in self.automaton.iter_long(text)]  # mostly nothing has to be taken back
-        pairs, compatible = self.pairs, self.compatible
-        if sum(map(len, greedy)) == n:
-            for pair in zip(greedy, greedy[1:], strict=False):
-                if not (pairs.get(pair) or compatible(*pair)):
-                    break
-            else:
-                return greedy
-        longest, lengths = list(text), [1] * n
-        for end, (k, p) in self.automaton.iter(text):
-            start = end + 1 - k
-            if k > lengths[start]:
-                longest[start], lengths[start] = p, k
-        failed = None  # one bit for each position from which no encoding goes on
+        n, pairs, compatible = len(text), self.pairs, self.compatible
         out: list[str] = []
-        last, pos, piece = None, 0, longest[0] if n else ""
-        shorter = self.shorter
+        last, pos = None, 0
+        for end, (k, p) in self.automaton.iter_long(text):  # goes on as long as nothing has to be taken back
+            if end + 1 - k != pos or not (last is None or (known if (known := pairs[last].get(p)) is not None else compatible(last, p))):
+                break
+            out.append(p)
+            last, pos = p, end + 1
+        if pos == n:
+            return out
+        longest = list(text)
+        for end, (k, p) in self.automaton.iter(text):  # of those that start at a place, the longest comes last
+            longest[end + 1 - k] = p
+        failed = None  # one bit for each position from which no encoding goes on
+        piece, shorter = longest[pos], self.shorter
         while pos < n:
             end = pos + len(piece)
-            if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (last is None or (pairs.get((last, piece)) or compatible(last, piece))):
+            if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (last is None or (known if (known := pairs[last].get(piece)) is not None else compatible(last, piece))):
                 out.append(piece)
                 last, pos = piece, end
                 if pos < n:
@@ -150,7 +185,7 @@ class Codec:
     def run_of(self, run: str) -> bytes:
         return b"".join(map(self.pack, self.backtrack(run)))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: bytes of byte pieces join into characters, the space put before the text goes again."""
         if not ids:
             return ""
@@ -213,7 +248,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", to: str = "id
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """df with the text of each array of ids in column `to`; null and empty arrays give an empty text."""
+    """df with the text of each array of ids in column `to`; null and empty arrays give an empty text, null ids are left out."""
     cols, schema, names = _columns(df, to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +256,8 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "deco
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield pa.record_batch([*part.columns, pa.array([c.decode(x.as_py() or []) for x in part[ids_col]], pa.string())], [*names, to])
+                each = (x.values.drop_null().to_numpy().tolist() if x.is_valid else [] for x in part[ids_col])
+                yield pa.record_batch([*part.columns, pa.array(map(c.decode, each), pa.string())], [*names, to])
 
     return cols.mapInArrow(run, f"{schema}, `{to}` string")
 
