@@ -177,7 +177,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
+        for batch in (b.slice(a, 200) for b in batches for a in range(0, b.num_rows, 200)):
             texts = ["" if t is None else t for t in batch[text_col].to_pylist()]
             if m.languages:
                 share, total = m.shares(texts)

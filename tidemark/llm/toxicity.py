@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
         dense[at] = w
         bias, dense[0] = dense[0], 0.0
         used, cache = dense != 0, _WordHash()
-        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
+        for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
             texts = ["" if t is None else t for t in batch[text_col].to_pylist()]
             logit = np.full(len(texts), bias)
             for a in range(0, len(texts), 256):
