@@ -95,6 +95,13 @@ def test_sentencepiece_ids(text):
     assert np.frombuffer(CODEC.encode_packed(text), np.int32).tolist() == LIBRARY.encode(text)
 
 
+def test_sentencepiece_pairs_as_by_merging():
+    c = Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    pick, pieces = random.Random(5), sorted(c.made)
+    pairs = [(pick.choice(pieces), pick.choice(pieces)) for _ in range(5000)] + [(p, p) for p in sorted(c.tangled)] + list(c.halves.values())[:2000]
+    assert all(c.stands(a, b) == (c.merge(a + b) == [a, b]) for a, b in pairs)
+
+
 def test_token_counts(spark, docs):
     t = Tokenizer.from_file(BYTES)
     odd = [(100 + i, "".join(random.Random(i).choices(" \n\t\u0085 ᠎\u001cab1'!é<|endoftext|>", k=60))) for i in range(60)]
