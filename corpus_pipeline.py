@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import stored, table
 from tidemark.llm.exact_dedup import keep_one_of_equal
 from tidemark.llm.langid import drop_unknown
+from tidemark.llm.near import keep_one_of_near
 from tidemark.llm.packing import best_fit_packing
-from tidemark.llm.simhash import keep_one_of_near
 from tidemark.llm.toxicity import drop_toxic
 
 
@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints, that with the smallest id stays."""
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles, that with the smallest id stays."""
     return keep_one_of_near(docs)
 
 

@@ -20,6 +20,7 @@ from tidemark.llm.chat_format import format_chats, violations
 from tidemark.llm.exact_dedup import exact_dedup, grow_directory, keep_one_of_equal
 from tidemark.llm.langid import identify, language_id, train
 from tidemark.llm.lm_score import lm_scores
+from tidemark.llm.near import keep_one_of_near, shingles, similar_texts
 from tidemark.llm.packing import best_fit_packing, pack
 from tidemark.llm.sp_codec import Codec, round_trip
 from tidemark.llm.token_count import count_tokens
@@ -76,6 +77,41 @@ def test_near_duplicates(docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_keeps_what_brute_force_keeps(spark):
+    rng = random.Random(4)
+    texts = {}
+    for family in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((3, 30, 120, 400)))]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(3000)}"
+            texts[len(texts)] = " ".join(copy)
+    sets = {i: set(shingles(t.encode()).tolist()) for i, t in texts.items()}
+    label = dict(zip(texts, texts, strict=True))
+    for i in texts:
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = label[i], label[j]
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    want = {i for i in texts if label[i] == i}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in keep_one_of_near(table).collect()} == want
+    assert 25 <= len(want) < 200
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "A  b"), (5, ""), (4, None), (6, "c"), (3, "a b")], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in keep_one_of_near(odd).collect()) == ["3", "3", "4", "6", "None", "None"]
+    assert keep_one_of_near(odd.limit(0)).count() == 0
+
+
+def test_near_tries_all_pairs_of_a_bucket(spark):
+    chain = [" ".join(f"w{i}" for i in range(8 * k, 8 * k + 100)) for k in range(12)]  # neighbours reach 0.8, others don't
+    rows = spark.createDataFrame(list(enumerate(chain)), "key long, text string")
+    prints = rows.selectExpr("key", "96L as n", "array(1L) as bands")
+    for stars in (0, 1, 3):
+        found = similar_texts(rows, prints, stars=stars).collect()
+        assert len(found) == 12 and {r["root"] for r in found} == {0}
+
+
 def test_sentencepiece_round_trip(docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = round_trip(docs, PIECES).collect()

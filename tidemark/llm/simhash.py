@@ -236,10 +236,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("n_linked"))
     member = stored(rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("__fp"), "component_id", "n_linked"), "members")
     return prints.join(member, prints["fp"] == member["__fp"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_linked")
-
-
-def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their component (the smallest id); rows of components without ids stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    lost = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct(), "lost")
-    return docs.join(lost, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
