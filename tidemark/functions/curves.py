@@ -27,10 +27,21 @@ def fold_dims(dims: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseXOR(b), [F.coalesce(F.shiftleft(d.cast("long"), i % 8), F.lit(0).cast("long")) for i, d in enumerate(dims)])
 
 
-def morton3(x: Column, y: Column, z: Column, bits: int = 20) -> Column:
-    """Code of three numbers of up to 20 bits each, x lowest, as a long."""
-    parts = [F.shiftleft(F.shiftright(v.cast("long"), i).bitwiseAND(F.lit(1)), 3 * i + k) for i in range(bits) for k, v in enumerate((x, y, z))]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+def _woven(dims: tuple[Column, ...], places: range) -> Column:
+    """The places of the code of dims that fit into one long, the first of them lowest."""
+    bit = lambda p: F.shiftright(dims[p % len(dims)].cast("long"), p // len(dims)).bitwiseAND(F.lit(1).cast("long"))
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(bit(p), p - places.start) for p in places])
+
+
+def morton3(x: Column, y: Column, z: Column) -> Column:
+    """126-bit code of the low 42 bits of three numbers, x lowest, as 32 upper-case hex digits (they sort as the codes do)."""
+    low, high = _woven((x, y, z), range(64)), _woven((x, y, z), range(64, 126))
+    return F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0"))
+
+
+def morton3_short(x: Column, y: Column, z: Column) -> Column:
+    """Code of the low 20 bits of three numbers, x lowest, as a long: wider numbers need morton3."""
+    return _woven((x, y, z), range(60))
 
 
 def cluster(df: DataFrame, path: str, x: Column, y: Column, files: int) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.addressing import pack_blocks, slots_by_epoch
-from tidemark.functions.curves import fold_dims, morton2, morton3
+from tidemark.functions.curves import fold_dims, morton2, morton3_short
 from tidemark.functions.states import span_offset
 from tidemark.operators.engine import Engine, Pipeline, unify_intervals
 from tidemark.sources.scratch import scratch
@@ -225,7 +225,7 @@ def zorder_int_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, list_reduce(list_prepend(0::BIGINT, list_transform(range(20), lambda i: (((l_partkey >> i) & 1) << (3*i)) + (((l_suppkey >> i) & 1) << (3*i+1)) + (((l_linenumber::BIGINT >> i) & 1) << (3*i+2)))), lambda a, b: a + b) AS code FROM lineitem")
 def zorder_3d_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", morton3(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")).alias("code"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", morton3_short(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")).alias("code"))
 
 
 @query("SELECT event_id, CASE WHEN s < 864000 THEN s * 16 + u ELSE 13824000 + (s - 864000) * 128 + u END AS slot FROM (SELECT event_id, epoch_us(ts)//1000000 - 1704067200 AS s, user_id % 16 AS u FROM events)")
