@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import simhash
+from tidemark.llm import near, simhash
 from tidemark.llm.chat_format import format_chats, violations
 from tidemark.llm.exact_dedup import exact_dedup, grow_directory, keep_one_of_equal
 from tidemark.llm.langid import identify, language_id, train
@@ -103,13 +103,25 @@ def test_near_keeps_what_brute_force_keeps(spark):
     assert keep_one_of_near(odd.limit(0)).count() == 0
 
 
-def test_near_tries_all_pairs_of_a_bucket(spark):
-    chain = [" ".join(f"w{i}" for i in range(8 * k, 8 * k + 100)) for k in range(12)]  # neighbours reach 0.8, others don't
-    rows = spark.createDataFrame(list(enumerate(chain)), "key long, text string")
-    prints = rows.selectExpr("key", "96L as n", "array(1L) as bands")
-    for stars in (0, 1, 3):
-        found = similar_texts(rows, prints, stars=stars).collect()
-        assert len(found) == 12 and {r["root"] for r in found} == {0}
+def test_near_links_a_dense_group_by_way_of_its_components(spark, monkeypatch):
+    chain = [" ".join(f"w{i}" for i in range(8 * k, 8 * k + 100)) for k in range(40)]  # neighbours reach 0.8, others don't
+    rows = spark.createDataFrame([(k, t, near.sketch(shingles(t.encode())).tobytes(), 96) for k, t in enumerate(chain)], "key long, text string, sketch binary, n long")
+    found = similar_texts(rows.select("key", "text"), rows.select("key", "n", "sketch")).collect()
+    assert len(found) == 40 and {r["root"] for r in found} == {0}
+
+
+def test_near_pairs_share_a_table():
+    assert abs(near.differing(0.8) - 0.1515) < 1e-3
+    for n in (100, 250_000, 1 << 35):
+        places = near.tables(n)
+        assert (1 - (1 - near.differing(0.8)) ** places.shape[1]) ** len(places) < near.MISS
+    rng = random.Random(6)
+    apart = []
+    for _ in range(40):
+        common, mine, yours = ([rng.getrandbits(64) for _ in range(k)] for k in (800, 100, 100))  # 0.8 of the union
+        x, y = (near.sketch(np.array(common + own, np.uint64)) for own in (mine, yours))
+        apart.append(int(np.bitwise_count(x ^ y).sum()) / (64 * near.WORDS))
+    assert abs(np.mean(apart) - near.differing(0.8)) < 0.01
 
 
 def test_sentencepiece_round_trip(docs):

@@ -1,33 +1,52 @@
-"""Near-dedup on word shingles: texts whose sets of shingles have a Jaccard similarity of 0.8 or more link.
+"""SimHash near-dedup at a Jaccard similarity of 0.8 or more between sets of five-word shingles.
 
-MinHash bands say which texts may be similar; a pair links only once its exact similarity is known. At a
-similarity of 0.8 a pair shares none of BANDS bands of ROWS minima with probability (1 - 0.8^6)^32 < 7e-5.
-Pairs of a bucket are not all made: stars around a few leaders are tried first, and then only
-members that are still in different components meet.
+A similarity of 0.8 between sets of one size is a cosine of 8/9, and a SimHash bit of such a pair
+differs with probability acos(8/9) / pi = 0.152. One 64-bit fingerprint can't tell such pairs from
+others, so a text has WORDS fingerprints, a sketch. Tables of a few bits drawn from the sketch deal texts into
+groups; the number of bits follows the number of texts, and the number of tables follows from the bits so that a
+pair at 0.8 meets in a table with probability 1 - MISS. Within a group a Gray-order hierarchical
+index finds pairs whose fingerprints are near enough, and pairs link only once their exact similarity is known.
+
+Pairs of a dense group are not all made: each text is tried with its nearest ones first. Only where
+texts of a group are still apart after that, those outside the group's largest component
+meet all others, so no link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clean_text, stored
-from tidemark.llm.simhash import components
+from tidemark.llm.simhash import GrayIndex, components, gray_rank
 
 SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS = 32, 6
-#: Rounds of stars before all pairs of different components in a bucket are tried.
-STARS = 3
+#: Fingerprints in a sketch; texts that a group of unlike texts holds; pairs at the similarity that no table brings together.
+WORDS, GROUP, MISS = 16, 64, 1e-3
+#: A group beyond DENSE texts, or with more than CROWD near pairs a text, is tried by nearest ones first.
+DENSE, CROWD = 512, 8
+#: Rows gathered before a search; texts of one open group that a task compares with those outside its largest component.
+GATHER, BLOCK = 1 << 16, 1 << 15
 _RANDOM = np.random.default_rng(SEED)
-_XOR, _TIMES = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+_XOR, _TIMES = (_RANDOM.integers(0, 1 << 64, WORDS, np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
-_MIX = _RANDOM.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+
+
+def differing(similarity: float) -> float:
+    """Part of the bits that differ at this Jaccard similarity of two sets of one size; of others fewer do."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def _most(similarity: float, bits: int, deviations: float) -> int:
+    p = differing(similarity)
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def shingles(text: bytes, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -41,22 +60,127 @@ def shingles(text: bytes, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.array([of(join(run), SEED) for run in zip(*(words[i:] for i in range(shingle_words)), strict=False)], np.uint64))
 
 
-def bands(of: np.ndarray) -> np.ndarray:
-    """One number for each band of minima of a set that is not empty."""
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
-    for a in range(0, len(of), 1024):  # bounds the memory of long texts
-        low = np.minimum(low, ((of[a : a + 1024, None] ^ _XOR) * _TIMES).min(axis=0))
-    mixed = (low.reshape(BANDS, ROWS) ^ low.reshape(BANDS, ROWS) >> np.uint64(32)) * _MIX
-    return (mixed ^ mixed >> np.uint64(29)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+def sketch(of: np.ndarray) -> np.ndarray:
+    """The WORDS fingerprints of a set of hashes."""
+    votes = np.zeros(64 * WORDS, np.int64)
+    for a in range(0, len(of), 512):  # bounds the memory of long texts
+        mixed = (of[a : a + 512, None] ^ _XOR) * _TIMES
+        mixed ^= mixed >> np.uint64(32)
+        votes += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(votes * 2 > len(of), bitorder="little").view(np.uint64)
+
+
+def tables(n: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """Places of the bits of each table for n texts, (tables x bits)."""
+    bits = max(4, math.ceil(math.log2(max(1, n / GROUP))))
+    same = 1 - _most(similarity, 64 * WORDS, 2) / (64 * WORDS)
+    count = math.ceil(math.log(MISS) / math.log1p(-(same**bits)))
+    random = np.random.default_rng(SEED)
+    return np.stack([random.choice(64 * WORDS, bits, replace=False) for _ in range(count)])
 
 
-def _banded(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
-            sets = [shingles(t.as_py(), shingle_words) for t in part["text"].cast(pa.binary())]
-            found = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.record_batch([part["id"], part["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "key", "n", "bands"])
+            found = [shingles(t.as_py(), shingle_words) for t in part["text"].cast(pa.binary())]
+            sketches = [sketch(s).tobytes() if len(s) else b"" for s in found]
+            yield pa.record_batch([part["id"], part["key"], pa.array([len(s) for s in found], pa.int64()), pa.array(sketches, pa.binary())], ["id", "key", "n", "sketch"])
+
+
+def _words(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], places: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, sketch, ...) to one row a table: (value, key, two fingerprints), or with the whole sketch instead."""
+    power = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            words = _words(part["sketch"])
+            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+            for t, at in enumerate(places):
+                value = pa.array((bits[:, at] @ power) + (np.int64(t) << np.int64(44)))
+                if whole:
+                    yield pa.record_batch([value, *part.columns], ["value", *part.schema.names])
+                else:
+                    two = words[:, [2 * t % WORDS, (2 * t + 1) % WORDS]].view(np.int64)
+                    yield pa.record_batch([value, part["key"], pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["value", "key", "w", "x"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list]:
+    """Columns of whole groups of a value, gathered to some GATHER rows, from rows sorted by value."""
+    rest: list | None = None
+    for batch in batches:
+        now = [_words(batch[c]) if c == "sketch" else batch[c].to_numpy() for c in names]
+        rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        cut = np.flatnonzero(rest[0][1:] != rest[0][:-1]) if len(rest[0]) >= GATHER else []
+        if len(cut):
+            yield [x[: cut[-1] + 1] for x in rest]
+            rest = [x[cut[-1] + 1 :] for x in rest]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (value, key, w, x) sorted by value to near pairs (a, b, apart) and members (value, key, -1) of open groups."""
+
+    def out(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32))], ["a", "b", "apart"])
+
+    for value, key, w, x in _groups(batches, ("value", "key", "w", "x")):
+        group = np.cumsum(np.r_[False, value[1:] != value[:-1]])
+        size = np.bincount(group)
+        several = size[group] > 1
+        value, key, w, x, group = value[several], key[several], w[several].view(np.uint64), x[several].view(np.uint64), group[several]
+        if not len(key):
+            continue
+        order = np.lexsort((gray_rank(w), group))
+        value, key, w, x, group = value[order], key[order], w[order], x[order], group[order]
+        dense = size[group] > DENSE
+        apart_of = lambda a, b: np.bitwise_count(w[a] ^ w[b]).astype(np.int32) + np.bitwise_count(x[a] ^ x[b])  # noqa: E731,B023
+        found = []
+        small = np.flatnonzero(~dense)
+        if len(small):
+            index = GrayIndex(w[small], np.cumsum(np.r_[False, group[small][1:] != group[small][:-1]]))
+            for a, b in index.pairs(near[0]):
+                a, b = small[a], small[b]
+                apart = apart_of(a, b)
+                ok = apart <= near[1]
+                found.append((a[ok], b[ok], apart[ok]))
+        for step in range(1, 5):  # neighbours in Gray order
+            a = np.flatnonzero(dense[:-step] & (group[step:] == group[:-step])) if len(group) > step else np.zeros(0, np.int64)
+            apart = apart_of(a, a + step)
+            ok = apart <= near[1]
+            found.append((a[ok], a[ok] + step, apart[ok]))
+        a, b, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+        crowded = np.bincount(group[a], minlength=len(size)) > CROWD * size
+        if crowded.any():  # of these the two nearest of each text only
+            many = crowded[group[a]]
+            of, to, d = np.r_[a[many], b[many]], np.r_[b[many], a[many]], np.r_[apart[many], apart[many]]
+            order = np.lexsort((d, of))
+            of, to, d = of[order], to[order], d[order]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            rank = np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)]))
+            a, b, apart = np.r_[a[~many], of[rank < 2]], np.r_[b[~many], to[rank < 2]], np.r_[apart[~many], d[rank < 2]]
+        yield out(np.minimum(key[a], key[b]), np.maximum(key[a], key[b]), apart)
+        open_ = np.flatnonzero(dense | crowded[group])
+        yield out(value[open_], key[open_], np.full(len(open_), -1))
+
+
+def _met(batches: Iterator[pa.RecordBatch], near: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (value, other, key, root, sketch) sorted by value, then those outside the largest component: pairs of two components."""
+    for value, other, key, root, sketches in _groups(batches, ("value", "other", "key", "root", "sketch")):
+        group = np.cumsum(np.r_[False, value[1:] != value[:-1]])
+        order = np.lexsort((gray_rank(sketches[:, 0]), group))
+        group, other, key, root, sketches = group[order], other[order], key[order], root[order], sketches[order]
+        for a, b in GrayIndex(sketches[:, 0], group).pairs(near, np.flatnonzero(other)):
+            a, b = (v[(root[a] != root[b]) & (key[a] != key[b])] for v in (a, b))
+            for c in range(0, len(a), 1 << 16):
+                i, j = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
+                ok = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int32) <= most
+                yield pa.record_batch([pa.array(np.minimum(key[i[ok]], key[j[ok]])), pa.array(np.maximum(key[i[ok]], key[j[ok]]))], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
@@ -67,61 +191,71 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.
             yield pa.record_batch([part["key"], pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
 
 
-def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, stars: int = STARS) -> DataFrame:
-    """(u, root) for the keys that link: rows (key, text), prints (key, n, bands)."""
-    dealt = prints.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("key", "n", F.explode("bands").alias("value"))
-    shared = dealt.groupBy("value").agg(F.count("*").alias("size")).where("size > 1").select("value")
-    open_ = stored(dealt.join(shared, "value", "left_semi"), "buckets")
-    members = open_.select("key").distinct()
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for i, (x, y) in enumerate(zip(batch["set_a"], batch["set_b"], strict=True)):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common >= similarity * (len(x) + len(y) - common):
+                keep.append(i)
+        yield pa.record_batch([batch["a"].take(pa.array(keep, pa.int64())), batch["b"].take(pa.array(keep, pa.int64()))], ["u", "v"])
+
+
+def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, root) for the keys that link: rows (key, text), prints (key, n, sketch) with one row a key."""
+    places = tables(prints.count(), similarity)
+    near = _most(similarity, 64, 4), _most(similarity, 128, 4)
+    dealt = prints.select("key", "sketch").mapInArrow(partial(_dealt, places=places, whole=False), "value long, key long, w long, x long")
+    searched = dealt.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_tried, near=near), "a long, b long, apart int")
+    found = stored(searched, "near-pairs")
+    sized = prints.select("key", "n")
+    pairs = found.where("apart >= 0").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    pairs = pairs.join(sized.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
+    pairs = stored(pairs.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b", "apart"), "pairs")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(found.where("apart < 0").select(F.col("b").alias("key"))).distinct()
     sets = stored(rows.join(members, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(partial(_sets, shingle_words=shingle_words), "key long, set array<long>"), "sets")
-    side = lambda name: sets.select(F.col("key").alias(name), F.col("set").alias(f"set_{name}"))
-    common, both = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that reach the similarity."""
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(common >= F.lit(similarity) * (both - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    sized = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")
-    tried, edges, classes = None, None, None
-    open_ = open_.withColumn("root", F.col("key"))
-    for turn in range(stars + 1):
-        last = turn == stars
-        if last:
-            most = open_.groupBy("value", "root").count().groupBy("value").agg(F.max_by("root", "count").alias("most"))
-            few = open_.join(most, "value").where("root <> most").select("value", F.col("key").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"))
-        else:
-            first = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "root")).alias("x")
-            few = open_.groupBy("value").agg(first).select("value", F.col("x.key").alias("other"), F.col("x.n").alias("m"), F.col("x.root").alias("its"))
-        pairs = open_.join(few, "value").where(F.col("root") != F.col("its")).where(sized).select(*pair("key", "other")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = stored(linked(pairs), "linked")
-        edges = found if edges is None else edges.unionByName(found)
-        classes = stored(components(edges), "classes")
-        if last:
-            break
-        now = open_.drop("root").join(classes, F.col("key") == F.col("u"), "left").select("value", "key", "n", F.coalesce("root", "key").alias("root"))
-        now = stored(now, "rooted")
-        mixed = now.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y and size > 2").select("value")
-        open_ = stored(now.join(mixed, "value", "left_semi"), "open")
-        if not open_.limit(1).count():
-            break
-    return classes
+
+    def linked(some: DataFrame) -> DataFrame:
+        """Pairs (u, v) that reach the similarity; one side's sets travel once a text, the other's once a pair."""
+        one = some.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
+        both = one.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
+        return stored(both.mapInArrow(partial(_compared, similarity=similarity), "u long, v long"), "linked")
+
+    sides = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("of"))
+    nearest = Window.partitionBy("of").orderBy("apart", "a", "b")
+    first = stored(sides.withColumn("r", F.row_number().over(nearest)).where("r <= 2").select("a", "b").distinct(), "first-pairs")
+    edges = linked(first)
+    classes = stored(components(edges), "classes")
+    root = lambda df, key, name: df.join(classes.select(F.col("u").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+    apart = lambda df: root(root(df, "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b")
+    later = apart(pairs.select("a", "b"))
+    # groups with texts of several components: those outside the largest one meet every text of the group
+    open_ = stored(root(found.where("apart < 0").select(F.col("a").alias("value"), F.col("b").alias("key")), "key", "root"), "open")
+    most = open_.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = open_.join(most, "value").withColumn("other", F.col("root") != F.col("most")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    block = F.when(F.col("other"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    spread = mixed.select(F.col("value"), "key", "root", "other", F.explode(block).alias("block"))
+    spread = spread.select(F.xxhash64("value", "block").alias("value"), "other", "key", "root").join(prints.select("key", "sketch"), "key").select("value", "other", "key", "root", "sketch")
+    met = spread.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_met, near=near[0], most=_most(similarity, 64 * WORDS, 4)), "a long, b long")
+    later = stored(later.unionByName(met).distinct().join(first, ["a", "b"], "left_anti"), "later-pairs")
+    if not later.limit(1).count():
+        return classes
+    return stored(components(edges.unionByName(linked(later))), "classes")
 
 
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that name their component (the smallest id); rows of components without ids stay.
 
     Texts are lower-cased in A-Z, cut into words at ASCII white space and into shingles of words; null
-    counts as empty, and texts without words link. Null ids take part, but never name a component.
+    counts as empty, and texts without words link. Null ids take part, but never name a component. Rows that repeat
+    the naming id all stay. An empty table gives an empty result; other columns stay as they are.
     """
     text = clean_text(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    prints = stored(rows.mapInArrow(partial(_banded, shingle_words=shingle_words), "id long, key long, n long, bands array<long>"), "bands")
-    classes = similar_texts(rows.select("key", "text"), prints.where("n > 0"), shingle_words, similarity)
+    prints = stored(rows.mapInArrow(partial(_sketched, shingle_words=shingle_words), "id long, key long, n long, sketch binary"), "sketches")
+    one = prints.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"])
+    classes = similar_texts(rows.select("key", "text"), stored(one, "distinct-sketches"), shingle_words, similarity)
     rooted = stored(prints.select("id", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(classes, F.col("key") == F.col("u"), "left").select("id", F.coalesce("root", "key", F.lit(0).cast("long")).alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1").select(F.col("root").alias("__root"), "low")
     lost = stored(rooted.join(named, F.col("root") == F.col("__root")).where("id <> low").select(F.col("id").alias("__id")).distinct(), "lost")

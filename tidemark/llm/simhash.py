@@ -86,20 +86,26 @@ class GrayIndex:
             levels.append((same, pattern, starts, ends, last))
         self.levels, self.root_of = levels, of
 
-    def pairs(self, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Every pair (a, b) of places, a < b, in one group and at most distance bits apart; in blocks."""
+    def pairs(self, distance: int = DISTANCE, queries: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every pair (a, b) of places, a < b, in one group and at most distance bits apart; in blocks.
+
+        With queries, places, every pair of a query a and any b of its group instead, itself included.
+        """
         root = np.searchsorted(self.root_of, self.group)
         top = len(self.levels) - 1
         same, pattern = self.levels[top][:2]
-        for a in range(0, len(self.codes), FRONTIER):
-            query = np.arange(a, min(len(self.codes), a + FRONTIER))
+        every = np.arange(len(self.codes)) if queries is None else queries
+        for a in range(0, len(every), FRONTIER):
+            query = every[a : a + FRONTIER]
             node = root[query]
             apart = np.bitwise_count((self.codes[query] ^ pattern[node]) & same[node])
             todo = [(top, query, node, apart)]
             while todo:
                 level, query, node, apart = todo.pop()
                 own, pat, starts, ends, last = self.levels[level]
-                ok = (apart <= distance) & (last[node] > query)
+                ok = apart <= distance
+                if queries is None:
+                    ok &= last[node] > query
                 query, node, apart = query[ok], node[ok], apart[ok]
                 if not len(query):
                     continue
