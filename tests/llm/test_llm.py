@@ -7,6 +7,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -110,6 +111,24 @@ def test_near_links_a_dense_group_by_way_of_its_components(spark, monkeypatch):
     assert len(found) == 40 and {r["root"] for r in found} == {0}
 
 
+def test_near_open_group_meets_across_components():
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    some = [near.sketch(np.array(base[: 300 - k] + [rng.getrandbits(64) for _ in range(k)], np.uint64)) for k in (0, 5, 10, 15, 290)]
+    batch = pa.record_batch({"value": pa.array([1] * 5), "other": pa.array([0, 0, 1, 1, 1]), "key": pa.array(range(5)), "root": pa.array([0, 0, 2, 3, 4]), "sketch": pa.array([x.tobytes() for x in some])})
+    got = {(a, b) for out in near._met(iter([batch]), near._most(0.8, 64, 4), near._most(0.8, 1024, 4)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+    assert got == {(0, 2), (1, 2), (0, 3), (1, 3), (2, 3)}
+
+
+def test_near_dense_group_tries_the_nearest_and_stays_open():
+    rng = np.random.default_rng(5)
+    w = np.full(600, 12345, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64))
+    batch = pa.record_batch({"value": pa.array([1] * 600 + [2, 3, 3]), "key": pa.array(range(603)), "w": pa.array(np.r_[w, w[:3]].view(np.int64)), "x": pa.array(np.zeros(603, np.int64))})
+    out = pa.Table.from_batches(near._tried(iter([batch]), (21, 36))).to_pandas()
+    assert (out.apart < 0).sum() == 600 and {(601, 602)} == {(r.a, r.b) for r in out[out.apart >= 0].itertuples() if r.b > 599}
+    assert 0 < len(out[out.apart >= 0]) < 5 * 600 and set(out[out.apart >= 0][["a", "b"]].to_numpy().ravel()) >= set(range(600))
+
+
 def test_near_pairs_share_a_table():
     assert abs(near.differing(0.8) - 0.1515) < 1e-3
     for n in (100, 250_000, 1 << 35):

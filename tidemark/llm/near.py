@@ -233,8 +233,8 @@ def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHING
     # groups with texts of several components: those outside the largest one meet every text of the group
     open_ = stored(root(found.where("apart < 0").select(F.col("a").alias("value"), F.col("b").alias("key")), "key", "root"), "open")
     most = open_.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = open_.join(most, "value").withColumn("other", F.col("root") != F.col("most")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    block = F.when(F.col("other"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    mixed = open_.join(most, "value").withColumn("other", (F.col("root") != F.col("most")).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    block = F.when(F.col("other") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
     spread = mixed.select(F.col("value"), "key", "root", "other", F.explode(block).alias("block"))
     spread = spread.select(F.xxhash64("value", "block").alias("value"), "other", "key", "root").join(prints.select("key", "sketch"), "key").select("value", "other", "key", "root", "sketch")
     met = spread.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_met, near=near[0], most=_most(similarity, 64 * WORDS, 4)), "a long, b long")
