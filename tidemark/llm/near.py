@@ -30,8 +30,8 @@ from tidemark.llm.simhash import GrayIndex, components, gray_rank
 SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Fingerprints in a sketch; texts that a group of unlike texts holds; pairs at the similarity that no table brings together.
 WORDS, GROUP, MISS = 16, 64, 1e-3
-#: A group beyond DENSE texts, or with more than CROWD near pairs a text, is tried by nearest ones first.
-DENSE, CROWD = 512, 8
+#: In a group beyond DENSE texts, or with more than CROWD near pairs a text, each text is tried with its NEAREST ones first.
+DENSE, CROWD, NEAREST = 512, 2, 3
 #: Rows gathered before a search; texts of one open group that a task compares with those outside its largest component.
 GATHER, BLOCK = 1 << 16, 1 << 15
 _RANDOM = np.random.default_rng(SEED)
@@ -124,10 +124,13 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
 
 
 def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (value, key, w, x) sorted by value to near pairs (a, b, apart) and members (value, key, -1) of open groups."""
+    """Rows (value, key, w, x) sorted by value to near pairs (a, b, apart, kind).
 
-    def out(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32))], ["a", "b", "apart"])
+    kind 0: every near pair of a group; 1: some of an open group; 2: its members, as (value, key, 0).
+    """
+
+    def out(a: np.ndarray, b: np.ndarray, apart: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32)), pa.array(kind.astype(np.int32))], ["a", "b", "apart", "kind"])
 
     for value, key, w, x in _groups(batches, ("value", "key", "w", "x")):
         group = np.cumsum(np.r_[False, value[1:] != value[:-1]])
@@ -164,9 +167,10 @@ def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int]) -> Iterator
             first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             rank = np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)]))
             a, b, apart = np.r_[a[~many], of[rank < 2]], np.r_[b[~many], to[rank < 2]], np.r_[apart[~many], d[rank < 2]]
-        yield out(np.minimum(key[a], key[b]), np.maximum(key[a], key[b]), apart)
-        open_ = np.flatnonzero(dense | crowded[group])
-        yield out(value[open_], key[open_], np.full(len(open_), -1))
+        opened = dense | crowded[group]
+        yield out(np.minimum(key[a], key[b]), np.maximum(key[a], key[b]), apart, opened[a])
+        open_ = np.flatnonzero(opened)
+        yield out(value[open_], key[open_], np.zeros(len(open_)), np.full(len(open_), 2))
 
 
 def _met(batches: Iterator[pa.RecordBatch], near: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -207,31 +211,35 @@ def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHING
     places = tables(prints.count(), similarity)
     near = _most(similarity, 64, 4), _most(similarity, 128, 4)
     dealt = prints.select("key", "sketch").mapInArrow(partial(_dealt, places=places, whole=False), "value long, key long, w long, x long")
-    searched = dealt.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_tried, near=near), "a long, b long, apart int")
+    searched = dealt.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_tried, near=near), "a long, b long, apart int, kind int")
     found = stored(searched, "near-pairs")
+    sides = found.where("kind < 2").select("a", "b", "apart", F.explode(F.array("a", "b")).alias("of")).distinct()
+    nearest = Window.partitionBy("of").orderBy("apart", "a", "b")
+    first = stored(sides.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= NEAREST).select("a", "b").distinct(), "first-pairs")
     sized = prints.select("key", "n")
-    pairs = found.where("apart >= 0").groupBy("a", "b").agg(F.min("apart").alias("apart"))
-    pairs = pairs.join(sized.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
-    pairs = stored(pairs.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b", "apart"), "pairs")
-    members = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(found.where("apart < 0").select(F.col("b").alias("key"))).distinct()
+
+    def alike(some: DataFrame) -> DataFrame:
+        """Pairs whose sets' sizes allow the similarity."""
+        both = some.join(sized.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
+        return both.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b")
+
+    pairs = found.where("kind = 0").select("a", "b").distinct()
+    members = found.where("kind < 2").select(F.explode(F.array("a", "b")).alias("key")).unionByName(found.where("kind = 2").select(F.col("b").alias("key"))).distinct()
     sets = stored(rows.join(members, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(partial(_sets, shingle_words=shingle_words), "key long, set array<long>"), "sets")
 
     def linked(some: DataFrame) -> DataFrame:
         """Pairs (u, v) that reach the similarity; one side's sets travel once a text, the other's once a pair."""
-        one = some.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
+        one = alike(some).join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
         both = one.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
         return stored(both.mapInArrow(partial(_compared, similarity=similarity), "u long, v long"), "linked")
 
-    sides = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("of"))
-    nearest = Window.partitionBy("of").orderBy("apart", "a", "b")
-    first = stored(sides.withColumn("r", F.row_number().over(nearest)).where("r <= 2").select("a", "b").distinct(), "first-pairs")
     edges = linked(first)
     classes = stored(components(edges), "classes")
     root = lambda df, key, name: df.join(classes.select(F.col("u").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
     apart = lambda df: root(root(df, "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b")
-    later = apart(pairs.select("a", "b"))
+    later = apart(pairs)
     # groups with texts of several components: those outside the largest one meet every text of the group
-    open_ = stored(root(found.where("apart < 0").select(F.col("a").alias("value"), F.col("b").alias("key")), "key", "root"), "open")
+    open_ = stored(root(found.where("kind = 2").select(F.col("a").alias("value"), F.col("b").alias("key")), "key", "root"), "open")
     most = open_.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
     mixed = open_.join(most, "value").withColumn("other", (F.col("root") != F.col("most")).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.when(F.col("other") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
