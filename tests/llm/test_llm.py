@@ -50,6 +50,46 @@ def test_exact_dedup(spark, docs):
     assert depth == 3 and directory == [0, 2, 4, 6, 8, 10, 12, 14]
 
 
+CLASH = "doc_id long, text string, kept string, keep_id string, group_size int, text_sha256 string, lang string, lang_pred string, lang_score int, lang_covered int, __toxic int"
+
+
+def test_filters_leave_columns_as_they_are(spark):
+    from tidemark.llm.langid import drop_unknown
+    from tidemark.llm.toxicity import drop_toxic
+
+    row = ("the cat is here and the dog", "mine", "keep", 7, "sha", "en", "pred", 1, 2, 3)
+    rows = spark.createDataFrame([(i, *row) for i in range(12)], CLASH)
+    labels = spark.createDataFrame([(i, 0) for i in range(12)], "doc_id long, toxic int")
+    for kept, n in ((keep_one_of_equal(rows), 1), (drop_unknown(rows, rows), 12), (drop_toxic(rows, rows, labels), 12)):
+        assert kept.columns == rows.columns and [tuple(r[1:]) for r in kept.collect()] == [row] * n
+
+
+def test_langid_cuts_long_texts_without_losing_ngrams(monkeypatch):
+    from tidemark.llm import langid
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab\u0130\u00df c,1_\u65e5") for _ in range(n)) for n in (5, 700, 3000)] + ["x" * 900]
+    whole = [sorted(langid.ngrams([t])[1].tolist()) for t in texts]
+    monkeypatch.setattr(langid, "_CHUNK", 100)
+    got = [[] for _ in texts]
+    for first, part in langid._pieces(texts):
+        doc, keys = langid.ngrams(part)
+        for d, k in zip(doc.tolist(), keys.tolist(), strict=True):
+            got[first + d].append(k)
+    assert [sorted(x) for x in got] == whole
+
+
+def test_langid_knows_more_languages_than_a_filter_holds(spark):
+    from tidemark.llm import langid
+
+    letters = [chr(0x4E00 + 10 * i) for i in range(70)]
+    rows = [(100 * i + j, (letters[i] * 4 + " ") * 5, f"l{i:02}") for i in range(70) for j in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 70 and len(model.words) == 2
+    assert all(r["lang"] == r["lang_pred"] for r in identify(docs, model).collect())
+
+
 def test_simhash_links_equal_brute_force(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]

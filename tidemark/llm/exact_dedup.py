@@ -8,24 +8,28 @@ the entries of a key and compare texts byte by byte, so two texts that share a k
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clean_text, scratch
 
-#: Keys a bucket holds before it splits; bits beyond which it grows by overflow instead of splitting.
-BUCKET_KEYS, MAX_DEPTH = 8_000, 14
+#: Distinct keys that a bucket holds before it splits, and slots of the largest directory (broadcast, 8 MB). With more
+#: keys than these slots' buckets hold, buckets hold more; owner tasks read them sorted, so memory stays as it is.
+BUCKET_KEYS, SLOTS = 8_000, 1 << 20
 #: Bytes of text that a task holds while it folds repeated texts of its own rows.
 FOLD_BYTES = 16 << 20
 
 
-def grow_directory(histogram: dict[int, int], capacity: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
+def grow_directory(histogram: dict[int, int], capacity: int = BUCKET_KEYS, max_depth: int = 14) -> tuple[int, list[int]]:
     """(depth, directory): directory[slot] is the bucket of the keys with those leading bits.
 
-    histogram: keys by their leading max_depth bits, so it has at most 2^max_depth entries.
+    histogram: distinct keys by their leading max_depth bits, so it has at most 2^max_depth entries.
     A bucket is named by the first slot, at max_depth, that it covers.
     """
     sums = [0]
@@ -60,9 +64,24 @@ def _merge(link: list, keep: int | None, n: int, n_keep: int) -> None:
         link[0], link[2] = keep, n_keep
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, text) to (key, text, keep, n, n_keep): texts that a task repeats become one entry."""
-    names, types = ("key", "text", "keep", "n", "n_keep"), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+def _folder(sent, depth: int) -> Callable:  # noqa: ANN001
+    """Rows (key, id, text) to (bucket, key, text, keep, n, n_keep): texts that a task repeats become one entry."""
+    names = ("key", "text", "keep", "n", "n_keep", "bucket")
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+    def lot(held: dict) -> pa.RecordBatch:
+        keys = np.fromiter((k for k, _ in held), np.int64, len(held)).view(np.uint64)
+        slots = keys >> np.uint64(64 - depth) if depth else np.zeros(len(keys), np.uint64)
+        buckets = sent.value[slots.astype(np.int64)].tolist()
+        return _batch([(*k, *v, b) for (k, v), b in zip(held.items(), buckets, strict=True)], names, types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _fold(batches, lot)
+
+    return run
+
+
+def _fold(batches: Iterator[pa.RecordBatch], lot: Callable) -> Iterator[pa.RecordBatch]:
     held: dict[tuple, list] = {}
     size = 0
     for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
@@ -71,13 +90,13 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[key, text] = [i, 1, 1]
                 size += len(text) + 200
                 if size > FOLD_BYTES:
-                    yield _batch([(*k, *v) for k, v in held.items()], names, types)
+                    yield lot(held)
                     held.clear()
                     size = 0
             else:
                 _merge(link, i, 1, 1)
     if held:
-        yield _batch([(*k, *v) for k, v in held.items()], names, types)
+        yield lot(held)
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,14 +137,18 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = scratch(spark, "extendible-hash")
     text = clean_text(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
-    lead = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    # 2^MAX_DEPTH counts at most come to the driver, whatever the number of rows
-    histogram = {r["lead"]: r["n"] for r in rows.select(lead.alias("lead")).groupBy("lead").agg(F.count("*").alias("n")).collect()}
-    depth, directory = grow_directory(histogram, capacity)
+    keys = rows.select("key").distinct()
+    n = keys.agg(F.approx_count_distinct("key")).first()[0]  # only decides how deep the histogram goes
+    capacity = max(capacity, math.ceil(8 * n / SLOTS))
+    bits = min(SLOTS.bit_length() - 1, max(1, math.ceil(math.log2(max(2, 8 * n / capacity)))))
+    lead = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("lead")
+    # SLOTS counts at most come to the driver, whatever the number of rows
+    histogram = {r["lead"]: r["n"] for r in keys.select(lead).groupBy("lead").agg(F.count("*").alias("n")).collect()}
+    depth, directory = grow_directory(histogram, capacity, bits)
     spark.createDataFrame([(i, b) for i, b in enumerate(directory)], "slot int, bucket long").write.parquet(f"{path}/directory")
-    bucket = F.element_at(F.lit(directory), F.shiftrightunsigned("key", 64 - depth).cast("int") + 1 if depth else F.lit(1)).cast("long")
-    entries = rows.select("key", "id", "text").mapInArrow(_fold, "key long, text binary, keep long, n long, n_keep long")
-    owned = entries.select(bucket.alias("bucket"), "key", F.sha2("text", 256).alias("sha"), "text", "keep", "n", "n_keep")
+    sent = spark.sparkContext.broadcast(np.array(directory, np.int64))
+    entries = rows.select("key", "id", "text").mapInArrow(_folder(sent, depth), "key long, text binary, keep long, n long, n_keep long, bucket long")
+    owned = entries.select("bucket", "key", F.sha2("text", 256).alias("sha"), "text", "keep", "n", "n_keep")
     owners = owned.repartition("bucket").sortWithinPartitions("bucket", "key")
     owners.mapInArrow(_own, "bucket long, key long, slot int, sha string, keep_id long, group_size long, n_keep long").write.parquet(f"{path}/buckets")
     return path, spark.read.parquet(f"{path}/buckets")
@@ -143,20 +166,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _marked(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = clean_text(docs, text_col)
-    keyed = docs.drop("keep_id", "group_size", "kept", "text_sha256").withColumns({"__key": F.xxhash64(text), "text_sha256": F.sha2(text.cast("binary"), 256)})
+    keyed = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    added = {"__key": F.xxhash64(clean_text(docs, text_col)), "text_sha256": F.sha2(clean_text(docs, text_col).cast("binary"), 256)}
     groups = index.select(F.col("key").alias("__k"), F.col("sha").alias("__s"), "keep_id", "group_size")
-    out = keyed.join(groups, (F.col("__key") == F.col("__k")) & (F.col("text_sha256") == F.col("__s"))).drop("__k", "__s")
+    out = keyed.withColumns(added).join(groups, (F.col("__key") == F.col("__k")) & (F.col("text_sha256") == F.col("__s"))).drop("__k", "__s")
     return out.withColumn("kept", F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")))
 
 
 def keep_one_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with the columns of docs: that with the largest id.
+    """One row of each group of equal texts, with the columns of docs as they are: that with the largest id.
 
-    Where rows repeat both id and text, any one of them stays.
+    Null texts count as empty. Where rows repeat both id and text, any one of them stays. An empty table gives an
+    empty result.
     """
     index = build_index(docs, id_col, text_col)[1]
-    kept = _marked(docs, index, id_col, text_col).where("kept")
+    mark = uuid.uuid4().hex  # no column of docs has such a name
+    key, sha, keep, n_keep = (f"{c}_{mark}" for c in ("key", "sha", "keep", "n_keep"))
+    text = clean_text(docs, text_col)
+    keyed = docs.withColumns({key: F.xxhash64(text), sha: F.sha2(text.cast("binary"), 256)})
+    groups = index.select(F.col("key").alias(f"k_{mark}"), F.col("sha").alias(f"s_{mark}"), F.col("keep_id").alias(keep), F.col("n_keep").alias(n_keep))
+    kept = keyed.join(groups, (F.col(key) == F.col(f"k_{mark}")) & (F.col(sha) == F.col(f"s_{mark}"))).where(F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
     if index.where("n_keep > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__key", "text_sha256"])
-    return kept.select(docs.columns)
+        kept = kept.dropDuplicates([key, sha])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

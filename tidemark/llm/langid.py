@@ -8,23 +8,27 @@ slice says yes by chance, and the language with the largest corrected share wins
 
 from __future__ import annotations
 
+import math
+import re
 import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clean_text, held_out
 
 SIZES = (3, 4)
-#: Bounds of the sample that is fitted on: rows and n-grams for each language.
-SAMPLE_ROWS, NGRAMS = 2_000, 60_000
+#: Bound of the sample that is fitted on: about so many labelled rows of each language.
+SAMPLE_ROWS = 2_000
 #: A language has an n-gram that is in this share of its sampled texts, and in two of them.
 SHARE, LEAST = 0.005, 2
-FILTER_BITS, HASHES, LANGUAGES = 21, 3, 64
+#: Bits of a filter's length at least (it grows with the n-grams learned), looks into it, languages in one filter.
+FILTER_BITS, HASHES, TOGETHER = 21, 3, 64
 #: Part of a text's n-grams, beyond chance, that its language must contain for the filter stage to keep it.
 LEAST_COVERED = 0.25
 _CHUNK = 1 << 18  # characters looked at together
@@ -62,32 +66,42 @@ def ngrams(texts: list[str], sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray
     return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _places(keys: np.ndarray, i: int) -> np.ndarray:
-    """The i-th filter position of each key."""
+def _places(keys: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """The i-th position of each key in a filter of 2^bits."""
     odd = (0xBF58_476D_1CE4_E5B9, 0x94D0_49BB_1331_11EB, 0xD6E8_FEB8_6659_FD93)[i]
-    return ((keys ^ (keys >> np.uint64(29))) * np.uint64(odd)) >> np.uint64(64 - FILTER_BITS)
+    return ((keys ^ (keys >> np.uint64(29))) * np.uint64(odd)) >> np.uint64(64 - bits)
 
 
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    words: np.ndarray  # bitmask of languages at each position
+    words: list[np.ndarray]  # for each TOGETHER languages their bitmask at each position
     chance: np.ndarray  # rate of false positives for each language
 
     @classmethod
-    def build(cls, languages: list[str], keys: np.ndarray, masks: np.ndarray) -> LanguageFilter:
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(t).bits)
-        words = np.zeros(1 << FILTER_BITS, kind)
-        for i in range(HASHES):
-            np.bitwise_or.at(words, _places(keys, i), masks.astype(kind))
-        fill = np.array([(words >> kind(i) & kind(1)).mean() for i in range(len(languages))])
-        return cls(languages, words, fill**HASHES)
-
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that contain each n-gram, or seem to."""
-        found = self.words[_places(keys, 0)]
-        for i in range(1, HASHES):
-            found &= self.words[_places(keys, i)]
+    def build(cls, languages: list[str], keys: np.ndarray, langs: np.ndarray) -> LanguageFilter:
+        """keys[i] is an n-gram of language number langs[i]."""
+        bits = max(FILTER_BITS, math.ceil(math.log2(6 * max(1, np.bincount(langs, minlength=1).max()))))
+        filters, chance = [], []
+        for first in range(0, len(languages), TOGETHER):
+            several = min(TOGETHER, len(languages) - first)
+            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if several <= np.iinfo(t).bits)
+            words, own = np.zeros(1 << bits, kind), (langs >= first) & (langs < first + several)
+            for i in range(HASHES):
+                np.bitwise_or.at(words, _places(keys[own], i, bits), kind(1) << (langs[own] - first).astype(kind))
+            chance += [(words >> kind(i) & kind(1)).mean() ** HASHES for i in range(several)]
+            filters.append(words)
+        return cls(languages, filters, np.array(chance))
+
+    def lookup(self, keys: np.ndarray) -> list[np.ndarray]:
+        """Bitmasks of the languages that contain each n-gram, or seem to."""
+        found = []
+        for words in self.words:
+            bits = len(words).bit_length() - 1
+            masks = words[_places(keys, 0, bits)]
+            for i in range(1, HASHES):
+                masks &= words[_places(keys, i, bits)]
+            found.append(masks)
         return found
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +112,17 @@ class LanguageFilter:
             found, n = self.lookup(keys), len(part)
             total[first : first + n] += np.bincount(doc, minlength=n)
             for i in range(len(self.languages)):
-                hits[i, first : first + n] += np.bincount(doc[(found >> found.dtype.type(i) & found.dtype.type(1)) != 0], minlength=n)
+                masks, bit = found[i // TOGETHER], i % TOGETHER
+                hits[i, first : first + n] += np.bincount(doc[(masks >> masks.dtype.type(bit) & masks.dtype.type(1)) != 0], minlength=n)
         rate = hits.T / np.maximum(total, 1)[:, None]
         return np.clip((rate - self.chance) / np.maximum(1 - self.chance, 1e-9), 0, 1), total
 
 
+_BORDER = re.compile(r"[\W\d_]")
+
+
 def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Texts in lots of bounded length; a very long text comes as several lots, cut where they overlap by less than an n-gram."""
+    """Texts in lots of some _CHUNK characters; a very long text comes as several lots, cut where no letter is, so it keeps its n-grams."""
     lot, first, size = [], 0, 0
     for i, t in enumerate(texts):
         if lot and size + len(t) > _CHUNK:
@@ -113,8 +131,11 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         if not lot:
             first = i
         if len(t) > _CHUNK:
-            for a in range(0, len(t), _CHUNK):
-                yield i, [t[a : a + _CHUNK]]
+            a = 0
+            while a < len(t):
+                border = _next_border(t, a + _CHUNK)
+                yield i, [t[a:border]]
+                a = border
             continue
         lot.append(t)
         size += len(t)
@@ -122,21 +143,34 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, lot
 
 
+def _next_border(text: str, at: int) -> int:
+    """The first place from at on whose character, alone and lower-cased, has no letter; else the end."""
+    while at < len(text):
+        m = _BORDER.search(text, at)
+        if not m:
+            break
+        at = m.start()
+        if not any(c.isalpha() for c in text[at].lower()):
+            return at
+        at += 1
+    return len(text)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
-    """Learns from at most SAMPLE_ROWS texts of each language, those with the smallest hash of their id, that aren't held out.
+    """Learns from about SAMPLE_ROWS texts of each language, those with the smallest hash of their id, that aren't held out.
 
-    Rows with a null text or language teach nothing; of more than LANGUAGES languages the most frequent are learned.
+    Rows with a null text or language teach nothing.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    some = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_ROWS)
-    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
-        return LanguageFilter([], np.zeros(1 << FILTER_BITS, np.uint8), np.zeros(0))
+        return LanguageFilter([], [], np.zeros(0))
     number = {lang: i for i, lang in enumerate(languages)}
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some.select("id", "lang").distinct()), "id").where(F.col("lang").isin(languages))
+    part = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_ROWS / r["count"])))])
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64("id"), 11) < part[F.col("lang")] * float(1 << 53))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,24 +190,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     seen = sample.select("text", "lang").mapInArrow(run, "key long, lang int, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
     least = {number[r["lang"]]: max(LEAST, SHARE * min(r["count"], SAMPLE_ROWS)) for r in counts}
     enough = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("lang")]
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    kept = seen.where(F.col("n") >= enough).withColumn("r", F.row_number().over(best)).where(F.col("r") <= NGRAMS)
-    # NGRAMS keys of each language at most, whatever the number of rows
-    got = kept.select("key", "lang").collect()
-    keys = np.array([r["key"] for r in got], np.int64).view(np.uint64)
-    return LanguageFilter.build(languages, keys, np.array([1 << r["lang"] for r in got], np.uint64))
+    # bounded by the sample: an n-gram has SHARE of its language's texts
+    got = seen.where(F.col("n") >= enough).select("key", "lang").toArrow()
+    return LanguageFilter.build(languages, got["key"].to_numpy().view(np.uint64), got["lang"].to_numpy().astype(np.int64))
 
 
-def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score (0 to 1: the winner's part of all languages' shares) and lang_covered (its share).
+def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", to: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_covered")) -> DataFrame:
+    """docs with lang_pred, lang_score (0 to 1: the winner's part of all languages' shares) and lang_covered (its share), named `to`.
 
     `und` with score 0 where the text is null, has no letter, or no language contains any of its n-grams beyond
-    chance and none was learned; ties go to the first language by name.
+    chance and none was learned; ties go to the first language by name. Columns of docs with these names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    cols = docs.drop("lang_pred", "lang_score", "lang_covered")
-    to = [*cols.columns, "lang_pred", "lang_score", "lang_covered"]
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in cols.schema)}, lang_pred string, lang_score double, lang_covered double"
+    cols = docs.drop(*to)
+    names_out = [*cols.columns, *to]
+    kinds = ("string", "double", "double")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema), *(f"`{c}` {k}" for c, k in zip(to, kinds, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -187,7 +219,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
                 points = np.where(known, np.where(every > 0, top / np.maximum(every, 1e-12), 1 / len(m.languages)), 0.0)
             else:
                 names, points, top = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
-            yield pa.record_batch([*batch.columns, pa.array(list(names), pa.string()), pa.array(points), pa.array(top.astype(float))], to)
+            yield pa.record_batch([*batch.columns, pa.array(list(names), pa.string()), pa.array(points), pa.array(top.astype(float))], names_out)
 
     return cols.mapInArrow(run, schema)
 
@@ -200,6 +232,11 @@ def language_id(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id",
 
 
 def drop_unknown(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_COVERED) -> DataFrame:
-    """The rows of docs whose text is in a learned language: not `und`, and its n-grams covered to at least `least`."""
-    model = train(train_docs, id_col, text_col, lang_col)
-    return identify(docs, model, text_col).where((F.col("lang_pred") != "und") & (F.col("lang_covered") >= least)).select(docs.columns)
+    """The rows of docs, with its columns as they are, whose text is in a learned language: not `und`, and its n-grams covered to at least `least`.
+
+    Null texts and those without letters go. An empty table gives an empty result.
+    """
+    mark = uuid.uuid4().hex  # no column of docs has such a name
+    pred, score, covered = (f"{c}_{mark}" for c in ("pred", "score", "covered"))
+    found = identify(docs, train(train_docs, id_col, text_col, lang_col), text_col, (pred, score, covered))
+    return found.where((F.col(pred) != "und") & (F.col(covered) >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))

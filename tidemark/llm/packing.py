@@ -103,7 +103,7 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     items = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1)).alias("size"))
     pieces = items.withColumn("pieces", F.ceil(F.col("size") / capacity).cast("long")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
     pieces = pieces.select("id", "source", "cluster", "piece", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("piece") * capacity).alias("n_tokens"))
-    shards = max(1, math.ceil(docs.count() / shard_rows))
+    shards = max(1, math.ceil((items.agg(F.sum(F.ceil(F.col("size") / capacity))).first()[0] or 0) / shard_rows))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "cluster"), F.lit(shards)).cast("int"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

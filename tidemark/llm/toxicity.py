@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -150,5 +151,9 @@ def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, id_col:
 
 
 def drop_toxic(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores below the threshold."""
-    return score(docs, train(train_docs, labels, id_col, text_col), text_col, "__toxic").where(F.col("__toxic") < threshold).drop("__toxic")
+    """The rows of docs, with its columns as they are, whose text scores below the threshold; null texts count as empty.
+
+    An empty table gives an empty result.
+    """
+    to = f"toxic_{uuid.uuid4().hex}"  # no column of docs has such a name
+    return score(docs, train(train_docs, labels, id_col, text_col), text_col, to).where(F.col(to) < threshold).drop(to)
