@@ -48,10 +48,10 @@ def test_pipeline_refresh_and_scopes(spark):
     total = lambda **how: e.query("x", at("10:00"), at("11:00"), [("sum", "v", "s"), ("variance", "v", "d")], **how).collect()
     assert total() == [(60.0, 100.0)]
     e.insert("x", rows(spark, ("10:05:00", "a", 100), ("10:06:00", "b", 1)))
-    assert total()[0]["s"] == 161.0 and len(e.pipelines["x"].dirty) == 2
+    assert total()[0]["s"] == 161.0 and e.log("x").count() == 2
     e.refresh("x", {"k": "a"})
     hour = {r["k"]: r["v_moments"]["n"] for r in e.tier("x", "1h").collect()}
-    assert hour == {"a": 3, "b": 1} and [d[1] for d in e.pipelines["x"].dirty] == [{"k": "b"}]
+    assert hour == {"a": 3, "b": 1} and [r["k"] for r in e.log("x").collect()] == ["b"]
     e.refresh("x")
     assert {r["k"]: r["v_moments"]["n"] for r in e.tier("x", "1h").collect()} == {"a": 3, "b": 2} and e.validate("x", "1h", 0, 1 << 33).count() == 0
     e.delete("x", F.col("k") == "b")

@@ -36,6 +36,10 @@ class Frame:
         start = F.make_timestamp(F.floor(first / 12).cast("int"), (F.pmod(first, F.lit(12)) + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
         return F.unix_seconds(F.to_utc_timestamp(start, self.zone))
 
+    def after(self, start: Column) -> Column:
+        """End of the bucket that starts at start, as epoch seconds."""
+        return start + self.seconds if self.seconds else self.bucket(start + (self.months * 31 + 1) * 86400)
+
     def floor(self, t: int) -> int:
         if self.seconds:
             return t - t % self.seconds
@@ -109,3 +113,8 @@ def epoch_seconds(t: Column, kind: str) -> Column:
     if kind in ("bigint", "int", "smallint", "tinyint"):
         return t.cast("long")
     return F.floor(F.unix_micros(t.cast("timestamp")) / 1_000_000) if kind != "date" else F.unix_seconds(t.cast("timestamp"))
+
+
+def from_epoch(t: Column) -> Column:
+    """Timestamp of epoch seconds."""
+    return F.timestamp_seconds(t)

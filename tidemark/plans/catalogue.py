@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.addressing import pack_blocks, slots_by_epoch
 from tidemark.functions.curves import fold_dims, morton2, morton3_short
 from tidemark.functions.states import span_offset
-from tidemark.operators.engine import Engine, Pipeline, unify_intervals
+from tidemark.operators.answers import Linear
+from tidemark.operators.engine import Engine
+from tidemark.operators.intervals import unify_intervals
 from tidemark.sources.scratch import scratch
 from tidemark.sources.tables import table
 
@@ -144,7 +146,7 @@ def iso_week_from_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def product_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, scratch(spark, "lineitem"))
     e.accelerate("lineitem", table(spark, sf_dir, "lineitem"), "1d,1Y", ["l_returnflag"], ["l_extendedprice product(l_extendedprice, l_discount) as s"])
-    return e.tier("lineitem", e.pipelines["lineitem"].frames[-1].name).select("l_returnflag", "t", F.round("s.s", 2).alias("s"))
+    return e.tier("lineitem", e.pipeline("lineitem").frames[-1].name).select("l_returnflag", "t", F.round("s.s", 2).alias("s"))
 
 
 @query("WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, max(l_shipdate) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT epoch_us(date_trunc('month', o_orderdate))//1000000 AS t, CAST(epoch_us(max(e))//1000000 - epoch_us(date_trunc('month', o_orderdate))//1000000 AS INTEGER) AS span FROM o GROUP BY date_trunc('month', o_orderdate)")
@@ -183,32 +185,35 @@ def group_by_other_column_falls_back(spark: SparkSession, sf_dir: str) -> DataFr
 
 @query(f"SELECT round(3 * sum(value) + 10 * count(value), 4) AS lifted FROM events WHERE {_RANGE}")
 def linear_lifting_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _events(spark, sf_dir, ["value sum as s"]).query("events", A, B, [("sum", "value", "s"), ("count", "value", "n")])
-    return got.select(F.round(3 * F.col("s") + 10 * F.col("n"), 4).alias("lifted"))
+    return _events(spark, sf_dir, ["value sum as s"]).query("events", A, B, [("sum", Linear("value", 3, 10), "lifted")]).select(F.round("lifted", 4).alias("lifted"))
 
 
-@query("""WITH d AS (SELECT event_type, epoch_us(ts)//1000000//60*60 AS a FROM events WHERE event_id % 7 = 0 GROUP BY ALL),
-g AS (SELECT *, CASE WHEN a <= max(a + 60) OVER (PARTITION BY event_type ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS gap FROM d),
-n AS (SELECT *, sum(gap) OVER (PARTITION BY event_type ORDER BY a) AS k FROM g)
-SELECT event_type, min(a) AS start, max(a) + 60 AS "end" FROM n GROUP BY event_type, k""")
+@query("""WITH d AS (SELECT user_id, epoch_us(ts)//1000000//60*60 AS a FROM events GROUP BY ALL),
+g AS (SELECT *, CASE WHEN a <= max(a + 60) OVER (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS gap FROM d),
+n AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY a) AS k FROM g)
+SELECT user_id, min(a) AS start, max(a) + 60 AS "end" FROM n GROUP BY user_id, k""")
 def changelog_unify_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir, ["value sum as s"], frames="1m,1h")
-    return unify_intervals(e.touched("events", table(spark, sf_dir, "events").where("event_id % 7 = 0")), ["event_type"])
+    e = _events(spark, sf_dir, ["value sum as s"], frames="1m,1h", tenant=("user_id",))
+    return unify_intervals(e.touched("events", table(spark, sf_dir, "events")), ["user_id"])
 
 
-@query("SELECT 'events' AS base, count(*) AS entries, CAST(sum(b - a) AS BIGINT) AS seconds, min(a) AS oldest, max(b) AS newest FROM (SELECT epoch_us(date_trunc('day', ts))//1000000 AS a, epoch_us(date_trunc('day', ts))//1000000 + 86400 AS b FROM events WHERE event_id = 5 GROUP BY ALL)")
+@query(f"""WITH d AS (SELECT event_type, epoch_us(date_trunc('day', ts))//1000000 AS a FROM events WHERE {_EPOCH} >= {A} GROUP BY ALL),
+g AS (SELECT *, CASE WHEN a = lag(a) OVER (PARTITION BY event_type ORDER BY a) + 86400 THEN 0 ELSE 1 END AS gap FROM d)
+SELECT 'events' AS base, event_type, CAST(sum(gap) AS BIGINT) AS entries, count(*) * 86400 AS seconds, min(a) AS oldest, max(a) + 86400 AS newest FROM g GROUP BY ALL""")
 def status_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows up to A are loaded, all later ones came after."""
     events = table(spark, sf_dir, "events")
-    e = _events(spark, sf_dir, ["value sum as s"], frames="1d", base=events.where("event_id <> 5"))
-    e.insert("events", events.where("event_id = 5"))
-    return e.status(FEB).groupBy("base").agg(*(f(c).alias(c) for f, c in ((F.sum, "entries"), (F.sum, "seconds"), (F.min, "oldest"), (F.max, "newest"))))
+    e = _events(spark, sf_dir, ["value sum as s"], frames="1d", base=events.where(F.unix_seconds("ts") < A))
+    e.insert("events", events.where(F.unix_seconds("ts") >= A))
+    return e.status(FEB).select("base", F.get_json_object("scope", "$.event_type").alias("event_type"), "entries", "seconds", "oldest", "newest")
 
 
 @query("SELECT event_type, epoch_us(date_trunc('hour', ts))//1000000 AS t, c AS \"column\" FROM events, (SELECT unnest(['sum(value)', 'count(value)', 'avg(value)']) AS c) WHERE event_id % 997 = 0 GROUP BY ALL")
 def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     e = _events(spark, sf_dir, ["value sum as s"], base=events)
-    e._append(e.pipelines["events"], events.where("event_id % 997 = 0").withColumn("value", F.col("value") + 1000))
+    e.insert("events", events.where("event_id % 997 = 0").withColumn("value", F.col("value") + 1000))
+    e.purge("events")
     return e.validate("events", "1h", JAN, FEB).select("event_type", "t", "column")
 
 
@@ -269,9 +274,10 @@ def semi_join_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_join_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    big = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return table(spark, sf_dir, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT n_name, count(c_custkey) AS customers, count(DISTINCT c_mktsegment) AS segments FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -310,8 +316,8 @@ def array_explode_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH b AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY ALL) SELECT o_custkey, round(s, 2) AS s FROM b WHERE s > (SELECT avg(s) FROM b)")
 def cte_scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_in")
-    return spark.sql("WITH b AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders_in GROUP BY o_custkey) SELECT o_custkey, round(s, 2) AS s FROM b WHERE s > (SELECT avg(s) FROM b)")
+    orders = table(spark, sf_dir, "orders")
+    return spark.sql("WITH b AS (SELECT o_custkey, sum(o_totalprice) AS s FROM {orders} GROUP BY o_custkey) SELECT o_custkey, round(s, 2) AS s FROM b WHERE s > (SELECT avg(s) FROM b)", orders=orders)
 
 
 @query("SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT l_returnflag, count(*) FROM lineitem GROUP BY ALL")
