@@ -1,25 +1,57 @@
-"""Locality keys: Morton codes of two and three numbers, and clustering by them."""
+"""Locality keys: Morton and Hilbert codes, boxes in them, and clustering by them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # fixed values: masks that spread 32 bits to every second of 64
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+# fixed values: start and factor of the FNV-1a hash of 64 bits
+_FNV_START, _FNV_FACTOR = 14695981039346656037, 1099511628211
 
 
 def _spread(x: Column) -> Column:
     return reduce(lambda v, s: v.bitwiseOR(F.shiftleft(v, s[0])).bitwiseAND(F.lit(s[1])), _SPREAD, x.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def _gathered(x: Column) -> Column:
+    """Every second bit of a long, from the lowest on, side by side."""
+    masks = [m for _, m in _SPREAD[::-1]][1:] + [0xFFFFFFFF]
+
+    def gather(bound: Column) -> Column:
+        start = bound.bitwiseAND(F.lit(_SPREAD[-1][1]))
+        return reduce(lambda v, s: v.bitwiseOR(F.shiftrightunsigned(v, s[0])).bitwiseAND(F.lit(s[1])), zip((1, 2, 4, 8, 16), masks, strict=True), start)
+
+    return F.transform(F.array(x), gather)[0]  # x is used many times, so it is computed once and bound
+
+
+def _hex128(high: Column, low: Column) -> Column:
+    """32 upper-case hex digits of two longs; they sort as the unsigned 128-bit numbers do."""
+    return F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0"))
+
+
+def _halves(code: Column) -> tuple[Column, Column]:
+    half = lambda at: F.conv(F.substring(code, at, 16), 16, -10).cast("long")
+    return half(1), half(17)
+
+
 def morton2(x: Column, y: Column) -> Column:
-    """128-bit code of two longs, x in even bits, as 32 upper-case hex digits (they sort as the codes do)."""
+    """128-bit code of two longs, x in even bits, as 32 upper-case hex digits."""
     half = lambda a, b: _spread(a).bitwiseOR(F.shiftleft(_spread(b), 1))
-    high = half(F.shiftrightunsigned(x, 32), F.shiftrightunsigned(y, 32))
-    return F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(half(x, y)), 16, "0"))
+    return _hex128(half(F.shiftrightunsigned(x, 32), F.shiftrightunsigned(y, 32)), half(x, y))
+
+
+def demorton2(code: Column) -> tuple[Column, Column]:
+    """The two longs of a code."""
+    high, low = _halves(code)
+    join = lambda a, b: F.shiftleft(_gathered(a), 32).bitwiseOR(_gathered(b))
+    return join(high, low), join(F.shiftrightunsigned(high, 1), F.shiftrightunsigned(low, 1))
 
 
 def fold_dims(dims: list[Column]) -> Column:
@@ -27,6 +59,34 @@ def fold_dims(dims: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseXOR(b), [F.coalesce(F.shiftleft(d.cast("long"), i % 8), F.lit(0).cast("long")) for i, d in enumerate(dims)])
 
 
+@F.pandas_udf(LongType())
+def fnv64(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """64-bit FNV-1a hash of UTF-8 bytes, as a signed long; each distinct text of a batch is hashed once. Null stays null."""
+    for batch in texts:
+        known = {}
+        for text in batch.dropna().unique():
+            h = _FNV_START
+            for byte in text.encode():
+                h = (h ^ byte) * _FNV_FACTOR & 0xFFFF_FFFF_FFFF_FFFF
+            known[text] = h - (1 << 64) if h >> 63 else h
+        yield batch.map(known).astype("Int64")
+
+
+def morton_text(t: Column, dims: list[Column]) -> Column:
+    """Code of a time and several text dimensions, folded by their FNV-1a hashes."""
+    return morton2(t.cast("long"), fold_dims([fnv64(d) for d in dims]))
+
+
+def spiraling_code(t: Column, cycle: Column, lane: Column) -> Column:
+    return morton_text(t, [cycle.cast("string"), lane.cast("string")])
+
+
+def spiral_box(t: Column, cycle: int, size: int = 10) -> Column:
+    """The box of `size` whose low corner is the place of t in its cycle and the cycle's number."""
+    x, y = F.pmod(t, F.lit(cycle)).cast("double"), F.floor(t / cycle).cast("double")
+    return F.struct(x.alias("x0"), y.alias("y0"), (x + size).alias("x1"), (y + size).alias("y1"))
+
+
 def _woven(dims: tuple[Column, ...], places: range) -> Column:
     """The places of the code of dims that fit into one long, the first of them lowest."""
     bit = lambda p: F.shiftright(dims[p % len(dims)].cast("long"), p // len(dims)).bitwiseAND(F.lit(1).cast("long"))
@@ -34,14 +94,74 @@ def _woven(dims: tuple[Column, ...], places: range) -> Column:
 
 
 def morton3(x: Column, y: Column, z: Column) -> Column:
-    """126-bit code of the low 42 bits of three numbers, x lowest, as 32 upper-case hex digits (they sort as the codes do)."""
-    low, high = _woven((x, y, z), range(64)), _woven((x, y, z), range(64, 126))
-    return F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0"))
-
-
-def morton3_short(x: Column, y: Column, z: Column) -> Column:
-    """Code of the low 20 bits of three numbers, x lowest, as a long: wider numbers need morton3."""
-    return _woven((x, y, z), range(60))
+    """126-bit code of the low 42 bits of three numbers, x lowest, as 32 upper-case hex digits."""
+    return _hex128(_woven((x, y, z), range(64, 126)), _woven((x, y, z), range(64)))
+
+
+def hilbert2(x: Column, y: Column) -> Column:
+    """128-bit place of two longs on the Hilbert curve, as 32 upper-case hex digits.
+
+    From the highest bit down, each pair of bits says which quarter comes next; in two of the four the
+    curve runs mirrored or turned, which is applied to the lower bits.
+    """
+    zero = F.lit(0).cast("long")
+    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), zero.alias("high"), zero.alias("low"))
+
+    def step(s: Column, i: Column) -> Column:
+        one = F.lit(1).cast("long")
+        shifted = lambda v, by: F.call_function("shiftright", v, by).bitwiseAND(one)
+        a, b = shifted(s["x"], i), shifted(s["y"], i)
+        quarter = (3 * a).bitwiseXOR(b)
+        placed = F.call_function("shiftleft", quarter, 2 * F.pmod(i, F.lit(32)))
+        turn, mirror = b == 0, (b == 0) & (a == 1)
+        u, v = F.when(mirror, F.bitwise_not(s["x"])).otherwise(s["x"]), F.when(mirror, F.bitwise_not(s["y"])).otherwise(s["y"])
+        return F.struct(
+            F.when(turn, v).otherwise(u).alias("x"),
+            F.when(turn, u).otherwise(v).alias("y"),
+            F.when(i >= 32, s["high"].bitwiseOR(placed)).otherwise(s["high"]).alias("high"),
+            F.when(i < 32, s["low"].bitwiseOR(placed)).otherwise(s["low"]).alias("low"),
+        )
+
+    walked = F.aggregate(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), start, step)
+    return _hex128(walked["high"], walked["low"])
+
+
+def box_ranges(x0: int, y0: int, x1: int, y1: int, bits: int = 32, most: int = 256) -> list[tuple[int, int]]:
+    """Ranges [low, high] of Morton codes that cover the box of whole numbers, corners included.
+
+    Quarters wholly inside are taken whole, quarters outside left out, others cut again, the largest first. With `most`
+    ranges the rest is taken whole as well, so the ranges may hold points outside: keep the box's own condition.
+    """
+    todo, done = [(bits, 0, 0, 0)], []
+    while todo:
+        size, x, y, code = todo.pop(0)
+        last = (1 << size) - 1
+        if x > x1 or y > y1 or x + last < x0 or y + last < y0:
+            continue
+        inside = x >= x0 and y >= y0 and x + last <= x1 and y + last <= y1
+        if inside or size == 0 or len(todo) + len(done) >= most:
+            done.append((code, code + (1 << 2 * size) - 1))
+            continue
+        half = size - 1
+        todo += [(half, x + (k & 1) * (1 << half), y + (k >> 1) * (1 << half), code + (k << 2 * half)) for k in range(4)]
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(done):
+        if out and low == out[-1][1] + 1:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
+def in_ranges(code: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a code is in one of the ranges: comparisons of the column itself, which skip row groups of clustered files."""
+    return reduce(lambda a, b: a | b, [code.between(f"{low:032X}", f"{high:032X}") for low, high in ranges], F.lit(False))
+
+
+def in_box(code: Column, x0: int, y0: int, x1: int, y1: int) -> Column:
+    """Whether the point of a code is in the box, corners included."""
+    x, y = demorton2(code)
+    return x.between(x0, x1) & y.between(y0, y1)
 
 
 def cluster(df: DataFrame, path: str, x: Column, y: Column, files: int) -> None:

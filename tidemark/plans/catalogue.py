@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.addressing import pack_blocks, slots_by_epoch
-from tidemark.functions.curves import fold_dims, morton2, morton3_short
+from tidemark.functions.addressing import epoch_address, epoch_slot, pack_blocks, pack_slots, page_stats, read_block_point, read_slot, scan_slots
+from tidemark.functions.curves import box_ranges, demorton2, fold_dims, hilbert2, in_box, in_ranges, morton2, morton3, morton_text
 from tidemark.functions.states import span_offset
 from tidemark.operators.answers import Linear
 from tidemark.operators.engine import Engine
@@ -228,23 +228,80 @@ def zorder_int_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", morton2(F.unix_seconds("ts"), fold_dims([F.col("user_id")])).alias("code"))
 
 
-@query("SELECT l_orderkey, l_linenumber, list_reduce(list_prepend(0::BIGINT, list_transform(range(20), lambda i: (((l_partkey >> i) & 1) << (3*i)) + (((l_suppkey >> i) & 1) << (3*i+1)) + (((l_linenumber::BIGINT >> i) & 1) << (3*i+2)))), lambda a, b: a + b) AS code FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, upper(lpad(hex(list_reduce(list_prepend(0::UHUGEINT, list_transform(range(42), lambda i: (((l_partkey >> i) & 1)::UHUGEINT << (3*i)::UHUGEINT) + (((l_suppkey >> i) & 1)::UHUGEINT << (3*i+1)::UHUGEINT) + (((l_linenumber::BIGINT >> i) & 1)::UHUGEINT << (3*i+2)::UHUGEINT))), lambda a, b: a + b)), 32, '0')) AS code FROM lineitem""")
 def zorder_3d_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", morton3_short(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")).alias("code"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", morton3(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")).alias("code"))
+
+
+@query("""WITH f AS (SELECT event_type, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, length(event_type) + 1), lambda i: ascii(substr(event_type, i, 1))::UHUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM (SELECT DISTINCT event_type FROM events))
+SELECT event_id, upper(lpad(hex(list_reduce(list_prepend(0::UHUGEINT, list_transform(range(64), lambda i: (((epoch_us(ts)//1000000)::UHUGEINT >> i::UHUGEINT & 1::UHUGEINT) << (2*i)::UHUGEINT) + ((h >> i::UHUGEINT & 1::UHUGEINT) << (2*i+1)::UHUGEINT))), lambda a, b: a + b)), 32, '0')) AS code FROM events JOIN f USING (event_type)""")
+def zorder_text_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", morton_text(F.unix_seconds("ts"), [F.col("event_type")]).alias("code"))
+
+
+@query("SELECT event_id, epoch_us(ts)//1000000 AS x, user_id AS y FROM events")
+def zorder_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = demorton2(morton2(F.unix_seconds("ts"), F.col("user_id")))
+    return table(spark, sf_dir, "events").select("event_id", x.alias("x"), y.alias("y"))
+
+
+@query("SELECT event_id FROM events WHERE (epoch_us(ts)//1000000 - 1704067200)//3600 BETWEEN 100 AND 357 AND user_id BETWEEN 20 AND 90")
+def zorder_box_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = table(spark, sf_dir, "events").select("event_id", morton2(F.floor((F.unix_seconds("ts") - JAN) / 3600), F.col("user_id")).alias("code"))
+    box = 100, 20, 357, 90
+    return coded.where(in_ranges(F.col("code"), box_ranges(*box)) & in_box(F.col("code"), *box)).select("event_id")
+
+
+@query(None)
+def hilbert_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", hilbert2(F.unix_seconds("ts"), F.col("user_id")).alias("code"))
+
+
+EPOCHS = [(0, 16, 0), (864000, 128, 13824000)]
 
 
 @query("SELECT event_id, CASE WHEN s < 864000 THEN s * 16 + u ELSE 13824000 + (s - 864000) * 128 + u END AS slot FROM (SELECT event_id, epoch_us(ts)//1000000 - 1704067200 AS s, user_id % 16 AS u FROM events)")
 def timeline_epochs_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", (F.unix_seconds("ts") - JAN).alias("t"), (F.col("user_id") % 16).alias("tenant"))
-    epochs = spark.createDataFrame([(0, 16, 0), (864000, 128, 13824000)], "start long, scale long, base long")
-    return slots_by_epoch(rows, epochs).select("event_id", "slot")
+    t, tenant = F.unix_seconds("ts") - JAN, F.col("user_id") % 16
+    return table(spark, sf_dir, "events").select("event_id", epoch_slot(t, tenant, EPOCHS).alias("slot"))
+
+
+@query("SELECT event_id, epoch_us(ts)//1000000 - 1704067200 AS t, user_id % 16 AS tenant FROM events")
+def slot_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, tenant = epoch_address(epoch_slot(F.unix_seconds("ts") - JAN, F.col("user_id") % 16, EPOCHS), EPOCHS)
+    return table(spark, sf_dir, "events").select("event_id", t.alias("t"), tenant.alias("tenant"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select((F.unix_seconds("ts") - JAN).alias("t"), F.col("user_id").alias("tenant"), "value")
+
+
+@query("SELECT epoch_us(ts)//1000000 - 1704067200 AS t, user_id AS tenant, value FROM events WHERE user_id < 128")
+def slot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenants outside the scale have no slot."""
+    return scan_slots(pack_slots(_points(spark, sf_dir), 128), 128)
+
+
+@query("SELECT ((epoch_us(ts)//1000000 - 1704067200) * 1024 + user_id)//509 AS page, count(*) AS rows FROM events GROUP BY ALL")
+def page_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_stats(pack_slots(_points(spark, sf_dir), 1024), 1024).select("page", "rows")
+
+
+@query("SELECT 'slot' AS kind, value FROM events WHERE event_id = 77 UNION ALL SELECT 'compact', value::FLOAT::DOUBLE FROM events WHERE event_id = 77 UNION ALL SELECT 'block', value FROM events WHERE event_id = 77")
+def point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One address read from each packed form."""
+    points, one = _points(spark, sf_dir), table(spark, sf_dir, "events").where("event_id = 77").select(F.unix_seconds("ts") - JAN, "user_id").first()
+    kinds = {"slot": read_slot(pack_slots(points, 1024), *one, 1024), "compact": read_slot(pack_slots(points, 1024, compact=True), *one, 1024), "block": read_block_point(pack_blocks(points), *one)}
+    each = [df.select(F.lit(k).alias("kind"), F.col("value").cast("double").alias("value")) for k, df in kinds.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("SELECT epoch_us(ts)//1000000//86400 AS block, user_id AS tenant, count(*) AS points, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def block_pack_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.unix_seconds("ts").alias("t"), F.col("user_id").alias("tenant"), "value")
-    packed = pack_blocks(rows, 86400)
-    return packed.select("block", "tenant", F.size("points").cast("long").alias("points"), F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["value"]), 6).alias("total"))
+    packed = pack_blocks(rows).withColumn("total", F.aggregate("points", F.lit(0.0), lambda s, p: s + p["value"]))
+    days = packed.groupBy(F.floor(F.col("block") * 64 / 86400).alias("block"), "tenant")
+    return days.agg(F.sum(F.size("points")).alias("points"), F.round(F.sum("total"), 6).alias("total"))
 
 
 @query("SELECT c.o_custkey, a.n AS n_1995, b.n AS n_1996 FROM (SELECT DISTINCT o_custkey FROM orders) c JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY ALL) a USING (o_custkey) JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY ALL) b USING (o_custkey)")
@@ -342,3 +399,191 @@ def stream_foreachbatch_equals_batch(spark: SparkSession, sf_dir: str) -> DataFr
     arrivals = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     ingest(e, "events", arrivals, scratch(spark, "stream")).awaitTermination()
     return e.tier("events", "1h").select("t", "event_type", F.col("__rows").alias("n"), F.round("s.s", 6).alias("total"))
+
+
+_DAY = "epoch_us(date_trunc('day', ts))//1000000"
+
+
+@query(f"SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ({_EPOCH} >= {JAN} + 90000 AND {_EPOCH} < {A}) OR ({_EPOCH} >= {B} AND {_EPOCH} < {FEB}) GROUP BY ALL")
+def slice_or_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An OR of ranges is sliced range by range."""
+    e = _events(spark, sf_dir, ["value stats"])
+    return e.query("events", aggs=[("count", "*", "n"), ("sum", "value", "total")], by=["event_type"], ranges=[(JAN + 90000, A), (B, FEB)]).select("event_type", "n", *_r("total"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def slice_implicit_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value stats"]).query("events", aggs=[("count", "*", "n"), ("sum", "value", "total")], by=["event_type"]).select("event_type", "n", *_r("total"))
+
+
+@query(f"""SELECT a.event_type, a.bucket, a.total, b.high FROM
+(SELECT event_type, {_DAY} AS bucket, round(sum(value), 6) AS total FROM events WHERE {_RANGE} AND event_type IN ('click', 'view') GROUP BY ALL) a JOIN
+(SELECT event_type, {_DAY} AS bucket, max(user_id) AS high FROM events WHERE {_RANGE} AND event_type IN ('click', 'view') GROUP BY ALL) b USING (event_type, bucket)""")
+def join_propagated_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range and scopes are said once and slice both sides of the join."""
+    e = _events(spark, sf_dir, ["value stats"])
+    e.accelerate("users", table(spark, sf_dir, "events"), "1d", ["event_type"], ["user_id max as high"])
+    joined = e.join(("events", [("sum", "value", "total")]), ("users", [("max", "user_id", "high")]), A, B, {"event_type": ["click", "view"]}, ["event_type"], "day")
+    return joined.select("event_type", "bucket", *_r("total"), "high")
+
+
+@query(f"SELECT event_type, s - (SELECT avg(s) FROM (SELECT sum(value) AS s FROM events WHERE {_RANGE} GROUP BY event_type)) > 0 AS above FROM (SELECT event_type, sum(value) AS s FROM events WHERE {_RANGE} GROUP BY ALL)")
+def subquery_over_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL around a sliced answer: here a scalar subquery over the same view."""
+    sliced = _events(spark, sf_dir, ["value stats"]).query("events", A, B, [("sum", "value", "s")], by=["event_type"])
+    return spark.sql("SELECT event_type, s - (SELECT avg(s) FROM {t}) > 0 AS above FROM {t}", t=sliced)
+
+
+@query(f"SELECT event_type, {_DAY} AS t, sum(user_id) AS s, count(*) AS n FROM events GROUP BY ALL")
+def exact_whole_number_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir, ["user_id sum as s"])
+    return e.query("events", aggs=[("sum", "user_id", "s"), ("count", "*", "n")], by=["event_type"], grain="day").select("event_type", F.col("bucket").alias("t"), "s", "n")
+
+
+@query("SELECT event_type, CASE WHEN event_type = 'error' THEN 'late' ELSE 'fresh' END AS state, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE event_type = 'click' OR event_id % 97 <> 0 GROUP BY ALL")
+def refresh_single_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows of every type, refreshed for one type only: tiers of the others don't have them yet."""
+    events = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir, ["value sum as s"], base=events.where("event_id % 97 <> 0"))
+    e.insert("events", events.where("event_id % 97 = 0"))
+    e.refresh("events", {"event_type": "click"})
+    of = F.when(F.col("event_type") == "error", "late").otherwise("fresh").alias("state")
+    return e.tier("events", "1d").groupBy("event_type", of).agg(F.sum("__rows").alias("n"), F.round(F.sum("s.s"), 6).alias("total"))
+
+
+@query(f"SELECT event_type, {_DAY} AS t, count(*) AS n, round(sum(CASE WHEN event_type = 'error' AND ts >= '2024-01-20' THEN 0 ELSE value END), 6) AS total FROM events GROUP BY ALL")
+def update_heals_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir, ["value sum as s"])
+    e.update("events", (F.col("event_type") == "error") & (F.col("ts") >= "2024-01-20"), {"value": F.lit(0.0)})
+    e.refresh("events")
+    return e.tier("events", "1d").select("event_type", "t", F.col("__rows").alias("n"), F.round("s.s", 6).alias("total"))
+
+
+@query("SELECT event_type, epoch_us(date_trunc('week', ts) )//1000000 AS t, count(*) AS n FROM events GROUP BY ALL")
+def register_tier_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tier added later, of two days, regrouped by week from the daily one."""
+    e = _events(spark, sf_dir, ["value sum as s"])
+    e.register_tier("events", "2d")
+    return e.query("events", aggs=[("count", "*", "n")], by=["event_type"], grain="week").select("event_type", F.col("bucket").alias("t"), "n")
+
+
+@query("WITH o AS (SELECT o_orderkey, o_orderdate, max(l_shipdate) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT epoch_us(date_trunc('month', o_orderdate))//1000000 AS start, epoch_us(max(e))//1000000 AS ends, CAST(epoch_us(max(e))//1000000 - epoch_us(date_trunc('month', o_orderdate))//1000000 AS INTEGER) AS e_offset FROM o GROUP BY date_trunc('month', o_orderdate)")
+def reconstruction_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    spans = orders.join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("ends")), "o_orderkey")
+    e = Engine(spark, scratch(spark, "spans"))
+    e.accelerate("spans", spans.select("o_orderdate", "ends"), "1M", [], ["ends range_max_end as e"], time_column="o_orderdate")
+    return e.reconstruct("spans", "1mo").select(F.unix_seconds("o_orderdate").alias("start"), F.unix_seconds("e").alias("ends"), "e_offset")
+
+
+@query(f"SELECT {_DAY}//86400 AS block, count(*) AS rows, min({_EPOCH}) AS first, max({_EPOCH}) AS last, count(DISTINCT CASE WHEN event_id % 97 = 0 THEN event_type || date_trunc('hour', ts)::VARCHAR END) AS pending FROM events GROUP BY ALL")
+def block_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir, ["value sum as s"], base=events.where("event_id % 97 <> 0"))
+    e.insert("events", events.where("event_id % 97 = 0"))
+    return e.blocks("events").select("block", "rows", "first", "last", "pending")
+
+
+@query(f"SELECT event_type, start, \"end\", {FEB} - \"end\" AS age FROM (SELECT DISTINCT event_type, epoch_us(date_trunc('hour', ts))//1000000 AS start, epoch_us(date_trunc('hour', ts))//1000000 + 3600 AS \"end\" FROM events WHERE event_id % 97 = 0) ORDER BY \"end\" DESC, event_type LIMIT 50")
+def changelog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    e = _events(spark, sf_dir, ["value sum as s"], base=events.where("event_id % 97 <> 0"))
+    e.insert("events", events.where("event_id % 97 = 0"))
+    return e.latest_changes("events", FEB, 50)
+
+
+@query(f"SELECT event_id, event_type, value FROM events WHERE {_RANGE} ORDER BY ts, event_type LIMIT 5000")
+def slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, ["value sum as s"]).rows("events", A, B).select("event_id", "event_type", "value")
+
+
+@query("SELECT 'events' AS base, 1 + 2 AS views, 'events' AS raw, 'events_1d' AS coarsest, 1 AS sources")
+def hierarchy_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = _events(spark, sf_dir, ["value sum as s"]).hierarchies()
+    last = F.element_at("levels", -1)
+    return levels.select("base", F.size("levels").alias("views"), F.col("levels")[0]["view"].alias("raw"), last["view"].alias("coarsest"), F.size(last["sources"]).alias("sources"))
+
+
+@query(f"SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE {_RANGE} GROUP BY ALL")
+def percentile_cont_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir, ["value sum as s"])
+    return e.query("events", A, B, [("median_cont", "value", "p50"), ("p95_cont", "value", "p95")], by=["event_type"]).select("event_type", *_r("p50", "p95"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, list(n_nationkey ORDER BY n_nationkey) AS keys, bool_and(n_nationkey < 20) AS low, count(*) AS n FROM nation GROUP BY ALL")
+def string_array_bool_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.sort_array(F.collect_list("n_nationkey"))
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name)").alias("names"), ordered.alias("keys"), F.bool_and(F.col("n_nationkey") < 20).alias("low"), F.count("*").alias("n"))
+
+
+@query("SELECT r_name, '[' || string_agg('{\"k\":' || n_nationkey || ',\"n\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']' AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def json_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n"))))
+    joined = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return joined.groupBy("r_name").agg(F.to_json(each).alias("nations"))
+
+
+@query("SELECT day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(0, 31)) AS day) LEFT JOIN (SELECT (epoch_us(ts)//1000000 - 1704067200)//86400 AS day, count(*) AS n FROM events GROUP BY ALL) USING (day)")
+def series_fills_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").groupBy(F.floor((F.unix_seconds("ts") - JAN) / 86400).alias("day")).agg(F.count("*").alias("n"))
+    return spark.range(32).withColumnRenamed("id", "day").join(days, "day", "left").select("day", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(l_discount, l_tax) AS high, least(l_discount, l_tax) AS low FROM lineitem")
+def greatest_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.greatest("l_discount", "l_tax").alias("high"), F.least("l_discount", "l_tax").alias("low"))
+
+
+@query("SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region UNION SELECT n_nationkey FROM nation")
+def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return nation.select(F.col("n_regionkey").alias("k")).union(region.select("r_regionkey")).union(nation.select("n_nationkey")).distinct()
+
+
+@query("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+def correlated_scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return spark.sql("SELECT o_orderkey FROM {o} o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM {o} i WHERE i.o_custkey = o.o_custkey)", o=orders)
+
+
+@query("SELECT r_name, s.n, s.first FROM region, LATERAL (SELECT count(*) AS n, min(n_name) AS first FROM nation WHERE n_regionkey = r_regionkey) s")
+def lateral_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    return spark.sql("SELECT r_name, s.n, s.first FROM {r}, LATERAL (SELECT count(*) AS n, min(n_name) AS first FROM {n} WHERE n_regionkey = r_regionkey) s", r=region, n=nation)
+
+
+@query("SELECT r_name, c AS grade FROM region, (SELECT unnest(['a', 'b']) AS c)")
+def cross_join_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with each of a few fixed values."""
+    return table(spark, sf_dir, "region").select("r_name", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("grade"))
+
+
+@query("SELECT o.o_orderkey, count(*) AS n FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_shipdate >= o.o_orderdate + INTERVAL 60 DAY GROUP BY ALL")
+def expression_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    late = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") >= F.col("o_orderdate") + F.expr("INTERVAL 60 DAY"))
+    return orders.join(lines, late).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, 'k' IN (SELECT unnest(json_keys(props))) AS has_k, CAST(json_type(props, '$.k') IS NOT NULL AS BOOLEAN) AS typed FROM events WHERE CAST(props->>'$.k' AS BIGINT) > 10")
+def json_map_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.from_json("props", "map<string,string>")
+    k = entries["k"].cast("long")
+    return table(spark, sf_dir, "events").where(k > 10).select("event_id", k.alias("k"), F.map_contains_key(entries, "k").alias("has_k"), F.get_json_object("props", "$.k").isNotNull().alias("typed"))
+
+
+@query("SELECT vec_id, embedding[1] AS first, embedding[len(embedding)] AS last, len(embedding) AS size, list_contains(embedding, embedding[3]) AS has FROM embeddings")
+def array_subscript_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.element_at(e, 1).alias("first"), F.element_at(e, -1).alias("last"), F.size(e).cast("long").alias("size"), F.array_contains(e, e[2]).alias("has"))
+
+
+@query("SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders")
+def select_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus").distinct()
+
+
+@query("SELECT event_id, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS errors FROM events")
+def window_count_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "events").select("event_id", F.count(F.when(F.col("event_type") == "error", 1)).over(w).alias("errors"))
