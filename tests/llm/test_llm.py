@@ -277,24 +277,47 @@ def test_packing_table(docs):
     assert best_fit_packing(docs.limit(0)).count() == 0
 
 
-def test_lm_scores(spark):
-    texts = ["a b c a b", "a b d", "", None, "a b c a b", "z"]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    words = [(t or "").split() for t in texts]
+def brute_scores(words: list[list[str]], order: int, least: int) -> list[float]:
     count = {}
     for ws in words:
         for n in (1, 2, 3):
             for i in range(len(ws) - n + 1):
                 count[tuple(ws[i : i + n])] = count.get(tuple(ws[i : i + n]), 0) + 1
-    total = sum(map(len, words))
-    for order in (1, 2, 3):
-        for r in lm_scores(table, order=order, head=2).collect():
-            ws, want = words[r["doc_id"]], 0.0
-            for i in range(len(ws)):
-                n = next((n for n in range(min(order, i + 1), 1, -1) if count[tuple(ws[i - n + 1 : i + 1])] >= 2), 1)
-                gram = tuple(ws[i - n + 1 : i + 1])
-                want += np.log(count[gram] / (count[gram[:-1]] if n > 1 else total)) + (order - n) * np.log(0.4)
-            assert abs(r["log_score"] - want) < 1e-9 and r["n_words"] == len(ws)
+    total, out = sum(map(len, words)), []
+    for ws in words:
+        want = 0.0
+        for i in range(len(ws)):
+            n = next((n for n in range(min(order, i + 1), 1, -1) if count[tuple(ws[i - n + 1 : i + 1])] >= least), 1)
+            gram = tuple(ws[i - n + 1 : i + 1])
+            want += np.log(count[gram] / (count[gram[:-1]] if n > 1 else total)) + (order - n) * np.log(0.4)
+        out.append(want)
+    return out
+
+
+def test_lm_scores_equal_brute_force_whatever_is_numbered_or_broadcast(spark):
+    rng = random.Random(9)
+    alphabet = [f"w{i}" for i in range(40)] + ["é", "日本"]
+    texts = ["a b c a b", "a b d", "", None, "a b c a b", "Z", *(" ".join(rng.choice(alphabet[: rng.randrange(2, 42)]) for _ in range(rng.randrange(1, 60))) for _ in range(60))]
+    table = spark.createDataFrame([(i, t, 1, 2.0) for i, t in enumerate(texts)], "doc_id long, text string, n_words int, score double")
+    words = [(t or "").lower().split() for t in texts]
+    for order, least, numbered, head in ((1, 2, 5, 0), (2, 2, 10, 30), (3, 2, 7, 10), (3, 1, 1000, 5), (2, 1, 0, 0), (3, 2, 1000, 1000)):
+        want = brute_scores(words, order, least)
+        rows = lm_scores(table, order=order, min_count=least, numbered=numbered, head=head).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            assert abs(r["log_score"] - want[r["doc_id"]]) < 1e-9 and r["n_words"] == len(words[r["doc_id"]]), (order, least, numbered, head)
+            assert r["score"] == (None if not words[r["doc_id"]] else r["log_score"] / r["n_words"])
+
+
+def test_lm_scores_of_odd_rows(spark):
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b"), (4, None), (5, "b " * 30_000)], "doc_id long, text string")
+    rows = lm_scores(odd).collect()
+    want = dict(zip(["None", "3", "4", "5"], [brute_scores([["a", "b"]] * 4 + [[], ["b"] * 30_000], 2, 2)[i] for i in (0, 2, 4, 5)], strict=True))
+    assert sorted(str(r["doc_id"]) for r in rows) == ["3", "3", "4", "5", "None", "None"]
+    assert all(abs(r["log_score"] - want[str(r["doc_id"])]) < 1e-6 * max(1, abs(want[str(r["doc_id"])])) for r in rows)
+    assert lm_scores(odd.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="order"):
+        lm_scores(odd, order=4)
 
 
 def test_chat_links(spark):

@@ -8,160 +8,242 @@ is frequent enough of a weight of g alone:
 So tables of n-gram counts, partitioned by a hash of the n-gram, become tables of weights, which
 join the exploded n-grams of documents; sums by document follow.
 
-N-grams are exact 64-bit keys made of word numbers. The VOCABULARY most frequent words of all texts
-have a number each, all others share one (the usual unknown word of such models).
+Every word has its count. Words that are frequent have a small number, of which n-grams are packed; other words, and
+n-grams with such a word, have a 63-bit hash, and their counts come by joins. A text is scored by a model that has
+read it, so an n-gram that occurs once was read in that text alone and says nothing: min_count is 2, and
+counts themselves start from one.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clean_text, stored
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
 WORD_BITS = 17
-VOCABULARY = (1 << WORD_BITS) - 2
-#: N-grams whose counts and weights are broadcast, because a sample of SAMPLE rows shows them often: a
-#: fixed bound of some MB. The choice only decides how an n-gram travels, not its count or weight.
-HEAD, SAMPLE = 200_000, 4_000
+#: Words with a small number, n-grams whose counts and weights are broadcast because a sample of SAMPLE rows shows them
+#: often: fixed bounds of some MB. They only decide how a word or n-gram travels, not its count or weight.
+NUMBERED, HEAD, SAMPLE = (1 << WORD_BITS) - 2, 200_000, 4_000
+#: Words counted together before they are passed on, and word hashes a task keeps.
+_LOT, _KEPT = 1 << 20, 500_000
+_HASHED = np.int64(1) << np.int64(62)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+class WordHashes(dict):
+    """Word to its hash, at least 2^62; those met lately are kept."""
 
-    def flush() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-        held.clear()
-        return out
-
-    for batch in batches:
-        for text in batch["text"]:
-            held.update(text.as_py().lower().split())
-            if len(held) > 300_000:
-                yield flush()
-    if held:
-        yield flush()
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _KEPT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) >> 2 | 1 << 62
+        return value
 
 
 class Numbers(dict):
-    """Word to its number; zero for words without one."""
+    """Word to its number, or its hash where it has none."""
+
+    def __init__(self, words: list[str]):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.others = WordHashes()
 
     def __missing__(self, word: str) -> int:
-        return 0
+        return self.others[word]
 
 
-def grams(texts: list[str], numbers: Numbers, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of each run of n words, repeats included. Words not in numbers count as number 0."""
+def _words_of(texts: list[str], numbers: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(document, number or hash) of each word."""
     words = [t.lower().split() for t in texts]
     size = np.fromiter(map(len, words), np.int64, len(words))
     number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, size.sum())
-    doc = np.repeat(np.arange(len(words)), size)
-    return run_keys(doc, number, n)
+    return np.repeat(np.arange(len(words)), size), number
 
 
-def run_keys(doc: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    m = len(doc) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = number[:m].copy()
-    for i in range(1, n):
-        key = key << WORD_BITS | number[i : i + m]
-    inside = doc[:m] == doc[n - 1 :]
-    return doc[:m][inside], key[inside]
+def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+    """A hash of n-grams given by their words, at least 2^62."""
+    h = np.full(len(parts[0]), 0x9E37_79B9_7F4A_7C15, np.uint64)
+    for p in parts:
+        h = (h ^ p.view(np.uint64)) * np.uint64(0xD6E8_FEB8_6659_FD93)
+        h ^= h >> np.uint64(32)
+    return (h >> np.uint64(2)).view(np.int64) | _HASHED
 
 
-def _counted(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, key of n words), in order, and how often each occurs; for 512 documents at most."""
-    both, counts = np.unique(doc << n * WORD_BITS | key, return_counts=True)
-    return both >> n * WORD_BITS, both & (1 << n * WORD_BITS) - 1, counts
+def gram_key(parts: list[np.ndarray]) -> np.ndarray:
+    """Keys of n-grams given by their words: packed where each has a number, else hashed."""
+    packed, hashed = parts[0].copy(), parts[0] >= _HASHED
+    for p in parts[1:]:
+        packed = packed << np.int64(WORD_BITS) | p
+        hashed = hashed | (p >= _HASHED)
+    if len(parts) > 1 and hashed.any():
+        packed[hashed] = _mixed([p[hashed] for p in parts])
+    return packed
+
+
+def grams(doc: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(document, its words in order) of each run of n words within a document."""
+    m = max(0, len(doc) - n + 1)
+    inside = doc[:m] == doc[len(doc) - m :]
+    return doc[:m][inside], [number[i : i + m][inside] for i in range(n)]
+
+
+def _counted(doc: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct (document, n-gram) with words, key, and how often each occurs."""
+    key = gram_key(parts)
+    order = np.lexsort((key, doc))
+    d, k = doc[order], key[order]
+    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])]) if len(d) else np.zeros(0, np.int64)
+    at = order[first]
+    return doc[at], [p[at] for p in parts], key[at], np.diff(np.r_[first, len(d)])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, word, n) for lots of words; a word is spelled out so that the frequent ones can be numbered."""
+    hashes, held, spelled = WordHashes(), [], {}
+
+    def flush() -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        words = [spelled[k] for k in keys.tolist()]
+        held.clear()
+        spelled.clear()
+        return pa.record_batch([pa.array(keys), pa.array(words, pa.string()), pa.array(counts.astype(np.int64))], ["key", "word", "n"])
+
+    size = 0
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            words = [t.as_py().lower().split() for t in batch["text"].slice(a, 200)]
+            flat = list(chain.from_iterable(words))
+            keys = np.fromiter(map(hashes.__getitem__, flat), np.int64, len(flat))
+            spelled.update(zip(keys.tolist(), flat, strict=True))
+            held.append(keys)
+            size += len(flat)
+            if size > _LOT:
+                yield flush()
+                size = 0
+    if size:
+        yield flush()
 
 
 def _log(c: Column | str) -> Column:
     return F.log(F.col(c) if isinstance(c, str) else c)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, vocabulary: int = VOCABULARY, head: int = HEAD) -> DataFrame:
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in sorted keys, whether it is there) of each wanted key."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, numbered: int = NUMBERED, head: int = HEAD) -> DataFrame:
     """(id, n_words, log_score, score) for each row of docs: log_score is the sum over the words of the whole
     text, score its mean by word (null and 0 words: 0 and null).
 
-    Counts come from every whole text of docs. Words are lower-cased runs without
-    white space; n-grams stay within a text; order is 1, 2 or 3. Null texts count as empty. Rows that repeat both id
-    and text give a row each. An empty table gives an empty result.
+    Counts come from every whole text of docs. Words are lower-cased runs without white space; n-grams stay within
+    a text; order is 1, 2 or 3. Null texts count as empty, null ids are kept. Rows that repeat both id and text give a row
+    each and count each. An empty table gives an empty result; other columns are left out.
     """
     if not 1 <= order <= 3:
         raise ValueError("order is 1, 2 or 3")
     spark = docs.sparkSession
     text = clean_text(docs, text_col)
     texts = docs.select(text.alias("text"))
-    words = stored(texts.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = list(words.orderBy(F.desc("n"), "word").limit(min(vocabulary, VOCABULARY)).toLocalIterator())
+    counted_words = texts.mapInArrow(_word_counts, "key long, word string, n long")
+    words = stored(counted_words.groupBy("key").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    numbers = Numbers((r["word"], i + 1) for i, r in enumerate(top))
-    unigram = np.array([max(0, total - sum(r["n"] for r in top)), *(r["n"] for r in top)], np.float64)
-    sent = spark.sparkContext.broadcast((numbers, unigram))
-    heads = {n: _often(docs.select(text.alias("text")), sent, n, head) for n in range(2, order + 1)}
-    heads_sent = spark.sparkContext.broadcast(heads)
+    top = words.orderBy(F.desc("n"), "key").limit(min(numbered, NUMBERED)).collect()  # NUMBERED rows at most
+    unigram = np.array([r["n"] for r in top], np.float64)
+    sent = spark.sparkContext.broadcast(([r["word"] for r in top], unigram))
+    ranks = spark.createDataFrame([(i, r["key"]) for i, r in enumerate(top)], "number long, key long")
+    #: count of each word by its number or hash
+    lookup = stored(words.join(F.broadcast(ranks), "key", "left").select(F.coalesce("number", "key").alias("word"), F.col("n").cast("double").alias("c")), "word-counts")
+    head_keys = {n: _often(texts, sent, n, head) for n in range(2, order + 1)}
+    heads_sent = spark.sparkContext.broadcast(head_keys)
 
     def head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task's occurrences of each broadcast n-gram."""
+        numbers = Numbers(sent.value[0])
         found = {n: np.zeros(len(keys), np.int64) for n, keys in heads_sent.value.items()}
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                part = batch["text"].slice(a, 500).to_pylist()
+                doc, number = _words_of(batch["text"].slice(a, 500).to_pylist(), numbers)
                 for n, keys in heads_sent.value.items():
-                    key = grams(part, sent.value[0], n)[1]
-                    at = np.searchsorted(keys, key)
-                    at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key)] if len(keys) else at[:0]
-                    found[n] += np.bincount(at, minlength=len(keys))
+                    at, there = _found(keys, gram_key(grams(doc, number, n)[1]))
+                    found[n] += np.bincount(at[there], minlength=len(keys))
         for n, counts in found.items():
             keys = heads_sent.value[n]
             yield pa.record_batch([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys), pa.array(counts)], ["size", "key", "n"])
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (row, size, key, n) for a document's other n-grams."""
+        """Rows (row, size, key, n, a, b, m) for a document's other n-grams and for words without a number.
+
+        Of n-grams that are hashed, a and b are the keys of all but the last and all but the first word, m that of those between.
+        """
+        numbers = Numbers(sent.value[0])
+        names = ["row", "size", "key", "n", "a", "b", "m"]
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                texts_now = part["text"].to_pylist()
-                for n, keys in heads_sent.value.items():
-                    doc, key, count = _counted(*grams(texts_now, sent.value[0], n), n)
-                    at = np.searchsorted(keys, key)
-                    other = (at == len(keys)) | (keys[np.minimum(at, len(keys) - 1)] != key) if len(keys) else np.ones(len(key), bool)
-                    doc, key, count = doc[other], key[other], count[other]
-                    for b in range(0, len(doc), 50_000):
-                        c = slice(b, b + 50_000)
-                        yield pa.record_batch([part["row"].take(pa.array(doc[c])), pa.array(np.full(len(doc[c]), n, np.int8)), pa.array(key[c]), pa.array(count[c].astype(np.int32))], ["row", "size", "key", "n"])
-
-    counted = {}
-    for r in texts.mapInArrow(head_counts, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect() if order > 1 else []:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                words_doc, number = _words_of(part["text"].to_pylist(), numbers)
+                for n in range(1, order + 1):
+                    doc, parts, key, count = _counted(*grams(words_doc, number, n))
+                    other = key >= _HASHED if n == 1 else ~_found(heads_sent.value[n], key)[1]
+                    doc, parts, key, count = doc[other], [p[other] for p in parts], key[other], count[other]
+                    for first in range(0, len(doc), 50_000):
+                        c = slice(first, first + 50_000)
+                        hashed = key[c] >= _HASHED
+                        inner = [gram_key([p[c] for p in parts[:-1]]), gram_key([p[c] for p in parts[1:]]), gram_key([p[c] for p in parts[1:-1]]) if n > 2 else None] if n > 1 else [None] * 3
+                        cols = [pa.nulls(len(hashed), pa.int64()) if x is None else pa.array(x, mask=~hashed) for x in inner]
+                        yield pa.record_batch([part["row"].take(pa.array(doc[c])), pa.array(np.full(len(hashed), n, np.int8)), pa.array(key[c]), pa.array(count[c].astype(np.int32)), *cols], names)
+
+    counted: dict[int, dict[int, int]] = {}
+    for r in texts.mapInArrow(head_counts, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect() if order > 1 else []:  # HEAD rows at most for each size
         counted.setdefault(r["size"], {})[r["key"]] = r["n"]
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
-    grown = rows.select("row", "text").mapInArrow(tails, "row long, size tinyint, key long, n int") if order > 1 else None
-    lookup = spark.createDataFrame([(i, float(c)) for i, c in enumerate(unigram)], "word long, c double")
-    one = lambda name: F.broadcast(lookup.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}")))  # noqa: E731  # VOCABULARY + 1 rows
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
+    rows = docs.select(row.alias("row"), text.alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    grown = rows.mapInArrow(tails, f"row {kind}, size tinyint, key long, n int, a long, b long, m long")
+    numbers_only = spark.createDataFrame([(i, float(c)) for i, c in enumerate(unigram)], "word long, c double")
+    small = lambda name: F.broadcast(numbers_only.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}")))  # noqa: E731  # NUMBERED rows at most
+    any_ = lambda name: lookup.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}"))
     last, mask = (1 << WORD_BITS) - 1, lambda c, by: F.shiftrightunsigned(F.col(c), by)
-
-    parts, weights = [], {}
-    pairs = None
+    packed, n_log, a_log = F.col("key") < int(_HASHED), math.log(max(total, 1)), math.log(alpha)
+
+    def two_words(df: DataFrame) -> DataFrame:
+        """Weights of pairs (key, c, a, b, ...)."""
+        near = df.where(packed).withColumns({"a": mask("key", WORD_BITS), "b": F.col("key").bitwiseAND(F.lit(last))}).join(small("a"), "a").join(small("b"), "b")
+        far = df.where(~packed).join(any_("a"), "a").join(any_("b"), "b")
+        return near.unionByName(far).withColumn("w", _log("c") - _log("c_a") - a_log - _log("c_b") + n_log)
+
+    def three_words(df: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Weights of runs of three (key, c, a, b, m, ...)."""
+        inner = {"a": mask("key", WORD_BITS), "b": F.col("key").bitwiseAND(F.lit((1 << 2 * WORD_BITS) - 1)), "m": mask("key", WORD_BITS).bitwiseAND(F.lit(last))}
+        named = df.withColumns({c: F.when(packed, x).otherwise(F.col(c)) for c, x in inner.items()})
+        side = lambda name: pairs.select(F.col("pair").alias(name), F.col("c_pair").alias(f"c_{name}"))
+        both = named.join(side("a"), "a").join(side("b"), "b")
+        near, far = both.where(F.col("m") <= last).join(small("m"), "m"), both.where(F.col("m") > last).join(any_("m"), "m")
+        return near.unionByName(far).withColumn("w", _log("c") - _log("c_a") - a_log - _log("c_b") + _log("c_m"))
+
+    singles = grown.where("size = 1").join(any_("key"), "key").select("row", (F.col("n") * (_log("c_key") - n_log + (order - 1) * a_log)).alias("s"))
+    parts, weights, pairs = [singles], {}, None
     for n in range(2, order + 1):
-        mine = grown.where(F.col("size") == n)
-        met = mine.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).where(F.col("c") >= min_count)
-        fixed = spark.createDataFrame([(k, float(c)) for k, c in counted.get(n, {}).items() if c >= min_count], "key long, c double")
+        # one exchange by n-gram serves its count table and the join with it
+        mine = grown.where(F.col("size") == n).repartition("key")
+        table = mine.groupBy("key").agg(F.sum("n").cast("double").alias("c")).where(F.col("c") >= min_count)
+        met = mine.join(table.hint("merge"), "key")
+        fixed = spark.createDataFrame([(k, float(c), None, None, None) for k, c in counted.get(n, {}).items() if c >= min_count], "key long, c double, a long, b long, m long")
         if n == 2:
-            weigh = lambda df: df.withColumns({"a": mask("key", WORD_BITS), "b": F.col("key").bitwiseAND(F.lit(last))}).join(one("a"), "a").join(one("b"), "b").withColumn("w", _log("c") - _log("c_a") - math.log(alpha) - _log("c_b") + math.log(max(total, 1)))
+            weigh = two_words
             if order > 2:
-                pairs = stored(mine.groupBy("key").agg(F.sum("n").cast("double").alias("c")).where(F.col("c") >= min_count).unionByName(fixed).select(F.col("key").alias("pair"), F.col("c").alias("c_pair")), "pairs")
+                pairs = stored(table.select(F.col("key").alias("pair"), F.col("c").alias("c_pair")).unionByName(fixed.select(F.col("key").alias("pair"), F.col("c").alias("c_pair"))), "pairs")
         else:
-            side = lambda df, name, c: df.withColumn(name, c).join(pairs.select(F.col("pair").alias(name), F.col("c_pair").alias(f"c_{name}")), name)
-            weigh = lambda df: side(side(df, "u", mask("key", WORD_BITS)), "v", F.col("key").bitwiseAND(F.lit((1 << 2 * WORD_BITS) - 1))).withColumn("m", mask("key", WORD_BITS).bitwiseAND(F.lit(last))).join(one("m"), "m").withColumn("w", _log("c") - _log("c_u") - math.log(alpha) - _log("c_v") + _log("c_m"))
+            weigh = lambda df: three_words(df, pairs)
         parts.append(weigh(met).select("row", (F.col("n") * F.col("w")).alias("s")))
         got = weigh(fixed).select("key", "w").collect()  # HEAD rows at most
         keys = np.array(sorted(r["key"] for r in got), np.int64)
@@ -171,42 +253,45 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per row its words, and the sum of what broadcast tables say."""
-        numbers, unigram = sent.value
-        log1 = np.log(np.maximum(unigram, 1)) - math.log(max(total, 1)) + (order - 1) * math.log(alpha)
+        top_words, unigram = sent.value
+        numbers = Numbers(top_words)
+        log1 = np.log(np.maximum(unigram, 1)) - n_log + (order - 1) * a_log
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 texts_now = part["text"].to_pylist()
-                doc, key = grams(texts_now, numbers, 1)
+                doc, number = _words_of(texts_now, numbers)
                 size = np.bincount(doc, minlength=len(texts_now))
-                s = np.bincount(doc, log1[key], len(texts_now)).astype(np.float64)  # of nothing it makes whole numbers
+                known = number < _HASHED
+                s = np.bincount(doc[known], log1[number[known]], len(texts_now)).astype(np.float64)  # of nothing it makes whole numbers
                 for n, (keys, w) in weights_sent.value.items():
-                    if len(keys):
-                        d, k = run_keys(doc, key, n)
-                        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                        hit = keys[at] == k
-                        s += np.bincount(d[hit], w[at[hit]], len(texts_now))
-                yield pa.record_batch([part["row"], part["id"], pa.array(size.astype(np.int64)), pa.array(s)], ["row", "id", "n_words", "s"])
-
-    base = rows.mapInArrow(bases, f"row long, id {dict(rows.dtypes)['id']}, n_words long, s double")
-    together = base.select("row", "id", "n_words", "s", F.lit(1).alias("rows"))
+                    d, of = grams(doc, number, n)
+                    at, there = _found(keys, gram_key(of))
+                    s += np.bincount(d[there], w[at[there]], len(texts_now))
+                yield pa.record_batch([part["row"], pa.array(size.astype(np.int64)), pa.array(s)], ["row", "n_words", "s"])
+
+    base = rows.mapInArrow(bases, f"row {kind}, n_words long, s double")
+    together = base.select("row", "n_words", "s", F.lit(1).alias("rows"))
     for part in parts:
-        together = together.unionByName(part.select("row", F.lit(None).cast(dict(rows.dtypes)["id"]).alias("id"), F.lit(None).cast("long").alias("n_words"), "s", F.lit(0).alias("rows")))
-    summed = together.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.sum("s").alias("s"), F.sum("rows").cast("int").alias("rows"))
+        # a task's sums by document are made before the shuffle
+        together = together.unionByName(part.select("row", F.lit(None).cast("long").alias("n_words"), "s", F.lit(0).alias("rows")))
+    summed = together.groupBy("row").agg(F.max("n_words").alias("n_words"), F.sum("s").alias("s"), F.sum("rows").cast("int").alias("rows"))
     each = summed.select("*", F.explode(F.sequence(F.lit(1), "rows")).alias("__r"))
     log_score = F.col("s") / F.col("rows")
-    return each.select(F.col("id").alias(id_col), "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("score"))
+    return each.select(F.col("row.id").alias(id_col), "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("score"))
 
 
 def _often(texts: DataFrame, sent, n: int, head: int) -> np.ndarray:  # noqa: ANN001
-    """Sorted keys of n-grams that occur most in about SAMPLE texts."""
+    """Sorted keys of n-grams of numbered words that occur most in about SAMPLE texts."""
     size = texts.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(sent.value[0])
         for batch in batches:
-            _, key = grams(batch["text"].to_pylist(), sent.value[0], n)
-            keys, counts = np.unique(key, return_counts=True)
-            yield pa.record_batch([pa.array(keys), pa.array(counts)], ["key", "n"])
+            for a in range(0, batch.num_rows, 500):
+                key = gram_key(grams(*_words_of(batch["text"].slice(a, 500).to_pylist(), numbers), n)[1])
+                keys, counts = np.unique(key[key < _HASHED], return_counts=True)
+                yield pa.record_batch([pa.array(keys), pa.array(counts)], ["key", "n"])
 
     some = texts.sample(fraction=min(1.0, SAMPLE / max(size, 1)), seed=5).mapInArrow(run, "key long, n long")
     often = some.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > 1).orderBy(F.desc("n"), "key").limit(head).select("key").collect()
