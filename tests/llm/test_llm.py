@@ -234,6 +234,48 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def neighbours(x: np.ndarray, k: int) -> dict[int, list[int]]:
+    score = x @ x.T
+    out = {}
+    for q in range(0, len(x), 20):
+        s = score[q].copy()
+        s[q] = -np.inf
+        out[q] = np.lexsort((np.arange(len(x)), -s))[:k].tolist()
+    return out
+
+
+def test_nearest_beside_vectors_of_other_norms(spark):
+    rng = np.random.default_rng(1)
+    for scale in (1e8, 1e-6, 1e30):
+        x = rng.normal(size=(600, 8))
+        x[7] *= scale
+        x[100:140] *= 1e3
+        v = spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        got = {}
+        for r in nearest(v, v.where("vec_id % 20 = 0"), k=5, shard_rows=60).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == neighbours(x, 5), scale
+
+
+def test_nearest_recall_by_factor(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(60, 6)), 20, axis=0) + 0.1 * rng.normal(size=(1200, 6))
+    v = spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    want, recall = neighbours(x, 10), {}
+    for factor in (0.5, 0.8, 1.0):
+        rows = nearest(v, v.where("vec_id % 20 = 0"), k=10, factor=factor, shard_rows=100).collect()
+        recall[factor] = sum(r["vec_id"] in want[r["query_id"]] for r in rows) / sum(map(len, want.values()))
+    assert recall[1.0] == 1.0 and recall[0.8] >= 0.9 and recall[0.5] <= recall[0.8] <= 1
+
+
+def test_nearest_of_odd_rows(spark):
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (0, [0.0, 2.0]), (2, [1.0, 0.0]), (3, [3.0, 0.0]), (20, None), (40, [])]
+    v = spark.createDataFrame([(*r, "mine", 1) for r in rows], "vec_id long, embedding array<double>, query string, rank int")
+    got = nearest(v, v.where("vec_id % 20 = 0"), k=3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, 0.0)]
+
+
 def test_language_id(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = language_id(docs, docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -247,6 +289,11 @@ def test_toxicity(spark, small):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity(docs, docs, labels).join(labels, "doc_id").where("held_out")
     assert rows.where("predicted = toxic").count() / rows.count() > 0.9
+    marked = [(r["score"], r["toxic"]) for r in rows.collect()]
+    bad, good = ([x for x, y in marked if y == k] for k in (1, 0))
+    pairs = [(x > y) + 0.5 * (x == y) for x in bad for y in good]
+    assert sum(pairs) / len(pairs) > 0.9  # area under the curve
+    assert sum(x >= 0.3 for x in bad) / len(bad) >= 0.5 and sum(x >= 0.3 for x in good) / len(good) <= 0.05
     assert toxicity(docs.limit(2), docs.limit(0), labels.limit(0)).select("score").distinct().collect() == [(0.5,)]
 
 
@@ -346,3 +393,70 @@ def test_pipeline(spark, small):
 
     rows = corpus_pipeline.run(spark, small)
     assert 0 < rows.select(F.col("doc_id")).distinct().count() <= 200
+
+
+def linked_by_hand(turns: list[tuple]) -> dict[tuple, tuple]:
+    """(conv, turn, item) of calls to (level, after_turn, linked), by recursion over one conversation at a time."""
+    out = {}
+    for conv in {t[0] for t in turns}:
+        calls, answered = {}, {}
+        for _, turn, role, text in sorted((t for t in turns if t[0] == conv), key=lambda t: t[1]):
+            value = json.loads(text)
+            if role == "tool":
+                answered.setdefault(value["tool_call_id"], turn)
+            else:
+                for i, c in enumerate(value["tool_calls"]):
+                    refs = {v["$ref"] for v in c["arguments"].values() if isinstance(v, dict)}
+                    calls.setdefault(c["id"], (turn, i + 1, refs))
+
+        def settle(mark: str, path: tuple = ()) -> tuple | None:
+            if mark in path:
+                return None
+            turn, _, refs = calls[mark]
+            below = [settle(r, (*path, mark)) for r in refs if r in calls]
+            if None in below:
+                return None
+            return (2 + max(b[0] for b in below) if below else 0, max([turn, *(max(b[1], answered.get(r, -1)) for b, r in zip(below, [r for r in refs if r in calls], strict=True))]))
+
+        for mark, (turn, item, _) in calls.items():
+            found = settle(mark)
+            out[conv, turn, item] = (*(found or (None, turn)), mark in answered)
+    return out
+
+
+def test_chat_links_equal_those_by_hand(spark):
+    rng = random.Random(12)
+    turns = []
+    for conv in range(120):
+        marks = [f"c{i}" for i in range(rng.randrange(2, 14))]
+        order, turn = rng.sample(marks, len(marks)), 0
+        while order:
+            now, order = order[: rng.randrange(1, 4)], order[rng.randrange(1, 4) :] if rng.random() < 0.1 else order[len(order[: 3]) :]
+            calls = [{"id": m, "name": "f", "arguments": {"x": 1} | {f"r{k}": {"$ref": rng.choice([*marks, "gone"])} for k in range(rng.choice((0, 0, 0, 1, 2)))}} for m in now]
+            turns.append((conv, turn, "assistant", json.dumps({"tool_calls": calls})))
+            turn += 1
+            for m in now:
+                if rng.random() < 0.7:
+                    turns.append((conv, turn, "tool", json.dumps({"tool_call_id": m, "content": turn})))
+                    turn += 1
+    for k in range(1, 60):  # one long chain
+        turns.append((999, k, "assistant", json.dumps({"tool_calls": [{"id": f"n{k}", "name": "f", "arguments": {"x": {"$ref": f"n{k - 1}"}}}]})))
+    table = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, level string").coalesce(2)
+    want = linked_by_hand(turns)
+    rows = [r for r in format_chats(table).collect() if r["kind"] == "call"]
+    got = {(r["conv_id"], r["turn"], r["item"]): (r["level"], r["after_turn"], r["linked"]) for r in rows if "identifier repeats" not in r["errors"]}
+    assert len(want) > 500 and got == want and any(v[0] is None for v in want.values()) and max(v[0] or 0 for v in want.values()) >= 100
+    assert format_chats(table.limit(0)).count() == 0
+
+
+def test_packing_in_shards_wastes_little(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randrange(1, 400), f"s{rng.randrange(300)}") for i in range(3000)]
+    table = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, bin int")
+    used = {}
+    for shard_rows in (100_000, 500):
+        packed = best_fit_packing(table, capacity=512, shard_rows=shard_rows).collect()
+        assert len(packed) == 3000
+        used[shard_rows] = len({(r["shard"], r["bin"]) for r in packed})
+    least = sum(r["n_tokens"] for r in packed) / 512
+    assert least <= used[100_000] <= used[500] <= 1.1 * used[100_000]
