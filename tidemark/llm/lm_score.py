@@ -9,7 +9,7 @@ So tables of n-gram counts, partitioned by a hash of the n-gram, become tables o
 join the exploded n-grams of documents; sums by document follow.
 
 Every word has its count. Words that are frequent have a small number, of which n-grams are packed; other words, and
-n-grams with such a word, have a 63-bit hash, and their counts come by joins. A text is scored by a model that has
+n-grams with such a word, have a hash of 62 bits, and what they need comes by joins. A text is scored by a model that has
 read it, so an n-gram that occurs once was read in that text alone and says nothing: min_count is 2, and
 counts themselves start from one.
 """
@@ -23,7 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clean_text, stored
@@ -34,7 +34,7 @@ WORD_BITS = 17
 #: often: fixed bounds of some MB. They only decide how a word or n-gram travels, not its count or weight.
 NUMBERED, HEAD, SAMPLE = (1 << WORD_BITS) - 2, 200_000, 4_000
 #: Words counted together before they are passed on, and word hashes a task keeps.
-_LOT, _KEPT = 1 << 20, 500_000
+_LOT, _KEPT = 1 << 22, 500_000
 _HASHED = np.int64(1) << np.int64(62)
 
 
@@ -48,25 +48,23 @@ class WordHashes(dict):
         return value
 
 
-class Numbers(dict):
-    """Word to its number, or its hash where it has none."""
-
-    def __init__(self, words: list[str]):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.others = WordHashes()
-
-    def __missing__(self, word: str) -> int:
-        return self.others[word]
-
-
-def _words_of(texts: list[str], numbers: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(document, number or hash) of each word."""
+def _words_of(texts: list[str], hashes: WordHashes, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, word) of each word: its place among the sorted hashes `top`, or its hash where it isn't there."""
     words = [t.lower().split() for t in texts]
     size = np.fromiter(map(len, words), np.int64, len(words))
-    number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, size.sum())
+    number = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.int64, size.sum())
+    if top is not None:
+        at, there = _found(top, number)
+        number = np.where(there, at, number)
     return np.repeat(np.arange(len(words)), size), number
 
 
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in sorted keys, whether it is there) of each wanted key."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
+
+
 def _mixed(parts: list[np.ndarray]) -> np.ndarray:
     """A hash of n-grams given by their words, at least 2^62."""
     h = np.full(len(parts[0]), 0x9E37_79B9_7F4A_7C15, np.uint64)
@@ -94,36 +92,44 @@ def grams(doc: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, list
     return doc[:m][inside], [number[i : i + m][inside] for i in range(n)]
 
 
-def _counted(doc: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct (document, n-gram) with words, key, and how often each occurs."""
-    key = gram_key(parts)
-    order = np.lexsort((key, doc))
-    d, k = doc[order], key[order]
-    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])]) if len(d) else np.zeros(0, np.int64)
-    at = order[first]
-    return doc[at], [p[at] for p in parts], key[at], np.diff(np.r_[first, len(d)])
+def _counted(doc: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first, key, count) of each distinct n-gram of a document."""
+    key, places, counts = gram_key(parts), [], []
+    hashed = key >= _HASHED
+    bits = WORD_BITS * len(parts)
+    for rows, tight in ((np.flatnonzero(~hashed), bits < 54), (np.flatnonzero(hashed), False)):
+        if not len(rows):
+            continue
+        d, k = doc[rows], key[rows]
+        if tight:  # document and key in one number
+            both = d << np.int64(bits) | k
+            order = np.argsort(both, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0])
+        else:
+            order = np.lexsort((k, d))
+            d, k = d[order], k[order]
+            first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])])
+        places.append(rows[order[first]])
+        counts.append(np.diff(np.r_[first, len(order)]))
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.concatenate(places)
+    return at, key[at], np.concatenate(counts)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, word, n) for lots of words; a word is spelled out so that the frequent ones can be numbered."""
-    hashes, held, spelled = WordHashes(), [], {}
+    """Rows (key, n) for lots of words."""
+    hashes, held, size = WordHashes(), [], 0
 
     def flush() -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        words = [spelled[k] for k in keys.tolist()]
         held.clear()
-        spelled.clear()
-        return pa.record_batch([pa.array(keys), pa.array(words, pa.string()), pa.array(counts.astype(np.int64))], ["key", "word", "n"])
+        return pa.record_batch([pa.array(keys), pa.array(counts.astype(np.int64))], ["key", "n"])
 
-    size = 0
     for batch in batches:
-        for a in range(0, batch.num_rows, 200):
-            words = [t.as_py().lower().split() for t in batch["text"].slice(a, 200)]
-            flat = list(chain.from_iterable(words))
-            keys = np.fromiter(map(hashes.__getitem__, flat), np.int64, len(flat))
-            spelled.update(zip(keys.tolist(), flat, strict=True))
-            held.append(keys)
-            size += len(flat)
+        for a in range(0, batch.num_rows, 500):
+            held.append(_words_of(batch["text"].slice(a, 500).to_pylist(), hashes)[1])
+            size += len(held[-1])
             if size > _LOT:
                 yield flush()
                 size = 0
@@ -135,12 +141,6 @@ def _log(c: Column | str) -> Column:
     return F.log(F.col(c) if isinstance(c, str) else c)
 
 
-def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in sorted keys, whether it is there) of each wanted key."""
-    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-    return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, numbered: int = NUMBERED, head: int = HEAD) -> DataFrame:
     """(id, n_words, log_score, score) for each row of docs: log_score is the sum over the words of the whole
     text, score its mean by word (null and 0 words: 0 and null).
@@ -154,25 +154,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     spark = docs.sparkSession
     text = clean_text(docs, text_col)
     texts = docs.select(text.alias("text"))
-    counted_words = texts.mapInArrow(_word_counts, "key long, word string, n long")
-    words = stored(counted_words.groupBy("key").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "words")
+    words = stored(texts.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    top = words.orderBy(F.desc("n"), "key").limit(min(numbered, NUMBERED)).collect()  # NUMBERED rows at most
-    unigram = np.array([r["n"] for r in top], np.float64)
-    sent = spark.sparkContext.broadcast(([r["word"] for r in top], unigram))
-    ranks = spark.createDataFrame([(i, r["key"]) for i, r in enumerate(top)], "number long, key long")
-    #: count of each word by its number or hash
-    lookup = stored(words.join(F.broadcast(ranks), "key", "left").select(F.coalesce("number", "key").alias("word"), F.col("n").cast("double").alias("c")), "word-counts")
+    top = sorted((r["key"], r["n"]) for r in words.orderBy(F.desc("n"), "key").limit(min(numbered, NUMBERED)).collect())  # NUMBERED rows at most
+    unigram = np.array([n for _, n in top], np.float64)
+    sent = spark.sparkContext.broadcast((np.array([k for k, _ in top], np.int64), unigram))
     head_keys = {n: _often(texts, sent, n, head) for n in range(2, order + 1)}
     heads_sent = spark.sparkContext.broadcast(head_keys)
 
     def head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task's occurrences of each broadcast n-gram."""
-        numbers = Numbers(sent.value[0])
+        hashes = WordHashes()
         found = {n: np.zeros(len(keys), np.int64) for n, keys in heads_sent.value.items()}
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                doc, number = _words_of(batch["text"].slice(a, 500).to_pylist(), numbers)
+                doc, number = _words_of(batch["text"].slice(a, 500).to_pylist(), hashes, sent.value[0])
                 for n, keys in heads_sent.value.items():
                     at, there = _found(keys, gram_key(grams(doc, number, n)[1]))
                     found[n] += np.bincount(at[there], minlength=len(keys))
@@ -185,22 +181,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
         Of n-grams that are hashed, a and b are the keys of all but the last and all but the first word, m that of those between.
         """
-        numbers = Numbers(sent.value[0])
+        hashes = WordHashes()
         names = ["row", "size", "key", "n", "a", "b", "m"]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                words_doc, number = _words_of(part["text"].to_pylist(), numbers)
+                words_doc, number = _words_of(part["text"].to_pylist(), hashes, sent.value[0])
                 for n in range(1, order + 1):
-                    doc, parts, key, count = _counted(*grams(words_doc, number, n))
+                    doc, parts = grams(words_doc, number, n)
+                    at, key, count = _counted(doc, parts)
                     other = key >= _HASHED if n == 1 else ~_found(heads_sent.value[n], key)[1]
-                    doc, parts, key, count = doc[other], [p[other] for p in parts], key[other], count[other]
-                    for first in range(0, len(doc), 50_000):
+                    at, key, count = at[other], key[other], count[other]
+                    for first in range(0, len(at), 50_000):
                         c = slice(first, first + 50_000)
-                        hashed = key[c] >= _HASHED
-                        inner = [gram_key([p[c] for p in parts[:-1]]), gram_key([p[c] for p in parts[1:]]), gram_key([p[c] for p in parts[1:-1]]) if n > 2 else None] if n > 1 else [None] * 3
-                        cols = [pa.nulls(len(hashed), pa.int64()) if x is None else pa.array(x, mask=~hashed) for x in inner]
-                        yield pa.record_batch([part["row"].take(pa.array(doc[c])), pa.array(np.full(len(hashed), n, np.int8)), pa.array(key[c]), pa.array(count[c].astype(np.int32)), *cols], names)
+                        hashed = np.flatnonzero(key[c] >= _HASHED)
+                        of = [p[at[c][hashed]] for p in parts]
+                        cols = []
+                        for inner in (of[:-1], of[1:], of[1:-1]):
+                            col = np.zeros(len(key[c]), np.int64)
+                            if inner:
+                                col[hashed] = gram_key(inner)
+                            cols.append(pa.array(col))
+                        yield pa.record_batch([part["row"].take(pa.array(doc[at[c]])), pa.array(np.full(len(key[c]), n, np.int8)), pa.array(key[c]), pa.array(count[c].astype(np.int32)), *cols], names)
 
     counted: dict[int, dict[int, int]] = {}
     for r in texts.mapInArrow(head_counts, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect() if order > 1 else []:  # HEAD rows at most for each size
@@ -211,7 +213,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     grown = rows.mapInArrow(tails, f"row {kind}, size tinyint, key long, n int, a long, b long, m long")
     numbers_only = spark.createDataFrame([(i, float(c)) for i, c in enumerate(unigram)], "word long, c double")
     small = lambda name: F.broadcast(numbers_only.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}")))  # noqa: E731  # NUMBERED rows at most
-    any_ = lambda name: lookup.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}"))
+    other = words.join(F.broadcast(spark.createDataFrame([(k,) for k, _ in top], "key long")), "key", "left_anti").select(F.col("key").alias("word"), F.col("n").cast("double").alias("c"))
+    every = other.unionByName(numbers_only)
+    any_ = lambda name: every.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}"))
     last, mask = (1 << WORD_BITS) - 1, lambda c, by: F.shiftrightunsigned(F.col(c), by)
     packed, n_log, a_log = F.col("key") < int(_HASHED), math.log(max(total, 1)), math.log(alpha)
 
@@ -230,21 +234,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         near, far = both.where(F.col("m") <= last).join(small("m"), "m"), both.where(F.col("m") > last).join(any_("m"), "m")
         return near.unionByName(far).withColumn("w", _log("c") - _log("c_a") - a_log - _log("c_b") + _log("c_m"))
 
-    singles = grown.where("size = 1").join(any_("key"), "key").select("row", (F.col("n") * (_log("c_key") - n_log + (order - 1) * a_log)).alias("s"))
+    # One exchange by n-gram: there every n-gram gets its count. N-grams that a sample shows often travel as broadcast
+    # counts instead, so none that is left holds a notable part of the rows; a window over a long one spills.
+    of_gram = Window.partitionBy("size", "key")
+    met = grown.repartition("key").withColumn("c", F.sum("n").over(of_gram).cast("double")).where((F.col("size") == 1) | (F.col("c") >= min_count))
+    met = stored(met, "known-grams")
+    singles = met.where("size = 1").select("row", (F.col("n") * (_log("c") - n_log + (order - 1) * a_log)).alias("s"))
     parts, weights, pairs = [singles], {}, None
     for n in range(2, order + 1):
-        # one exchange by n-gram serves its count table and the join with it
-        mine = grown.where(F.col("size") == n).repartition("key")
-        table = mine.groupBy("key").agg(F.sum("n").cast("double").alias("c")).where(F.col("c") >= min_count)
-        met = mine.join(table.hint("merge"), "key")
-        fixed = spark.createDataFrame([(k, float(c), None, None, None) for k, c in counted.get(n, {}).items() if c >= min_count], "key long, c double, a long, b long, m long")
+        mine = met.where(F.col("size") == n)
+        fixed = spark.createDataFrame([(k, float(c), 0, 0, 0) for k, c in counted.get(n, {}).items() if c >= min_count], "key long, c double, a long, b long, m long")
         if n == 2:
             weigh = two_words
             if order > 2:
-                pairs = stored(table.select(F.col("key").alias("pair"), F.col("c").alias("c_pair")).unionByName(fixed.select(F.col("key").alias("pair"), F.col("c").alias("c_pair"))), "pairs")
+                pair = lambda df: df.select(F.col("key").alias("pair"), F.col("c").alias("c_pair"))
+                pairs = stored(pair(mine).distinct().unionByName(pair(fixed)), "pairs")
         else:
             weigh = lambda df: three_words(df, pairs)
-        parts.append(weigh(met).select("row", (F.col("n") * F.col("w")).alias("s")))
+        parts.append(weigh(mine).select("row", (F.col("n") * F.col("w")).alias("s")))
         got = weigh(fixed).select("key", "w").collect()  # HEAD rows at most
         keys = np.array(sorted(r["key"] for r in got), np.int64)
         value = {r["key"]: r["w"] for r in got}
@@ -253,14 +260,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per row its words, and the sum of what broadcast tables say."""
-        top_words, unigram = sent.value
-        numbers = Numbers(top_words)
+        (known_words, unigram), hashes = sent.value, WordHashes()
         log1 = np.log(np.maximum(unigram, 1)) - n_log + (order - 1) * a_log
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 texts_now = part["text"].to_pylist()
-                doc, number = _words_of(texts_now, numbers)
+                doc, number = _words_of(texts_now, hashes, known_words)
                 size = np.bincount(doc, minlength=len(texts_now))
                 known = number < _HASHED
                 s = np.bincount(doc[known], log1[number[known]], len(texts_now)).astype(np.float64)  # of nothing it makes whole numbers
@@ -286,10 +292,10 @@ def _often(texts: DataFrame, sent, n: int, head: int) -> np.ndarray:  # noqa: AN
     size = texts.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(sent.value[0])
+        hashes = WordHashes()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                key = gram_key(grams(*_words_of(batch["text"].slice(a, 500).to_pylist(), numbers), n)[1])
+                key = gram_key(grams(*_words_of(batch["text"].slice(a, 500).to_pylist(), hashes, sent.value[0]), n)[1])
                 keys, counts = np.unique(key[key < _HASHED], return_counts=True)
                 yield pa.record_batch([pa.array(keys), pa.array(counts)], ["key", "n"])
 
