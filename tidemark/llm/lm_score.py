@@ -25,11 +25,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import clean_text, stored
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-WORD_BITS = 17
+WORD_BITS = 19
 #: Words with a small number, n-grams whose counts and weights are broadcast because a sample of SAMPLE rows shows them
 #: often: fixed bounds of some MB. They only decide how a word or n-gram travels, not its count or weight.
 NUMBERED, HEAD, SAMPLE = (1 << WORD_BITS) - 2, 200_000, 4_000
@@ -38,24 +39,29 @@ _LOT, _KEPT = 1 << 22, 500_000
 _HASHED = np.int64(1) << np.int64(62)
 
 
-class WordHashes(dict):
-    """Word to its hash, at least 2^62; those met lately are kept."""
+class WordNumbers(dict):
+    """Word to its place among the sorted hashes `top`, or to its hash, at least 2^62, where it isn't there; those met lately are kept."""
+
+    def __init__(self, top: np.ndarray | None = None):
+        super().__init__()
+        self.top = top if top is not None else np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _KEPT:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) >> 2 | 1 << 62
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) >> 2 | 1 << 62
+        at = int(self.top.searchsorted(value))
+        if at < len(self.top) and self.top[at] == value:
+            value = at
+        self[word] = value
         return value
 
 
-def _words_of(texts: list[str], hashes: WordHashes, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document, word) of each word: its place among the sorted hashes `top`, or its hash where it isn't there."""
+def _words_of(texts: list[str], numbers: WordNumbers) -> tuple[np.ndarray, np.ndarray]:
+    """(document, number or hash) of each word."""
     words = [t.lower().split() for t in texts]
     size = np.fromiter(map(len, words), np.int64, len(words))
-    number = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.int64, size.sum())
-    if top is not None:
-        at, there = _found(top, number)
-        number = np.where(there, at, number)
+    number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, size.sum())
     return np.repeat(np.arange(len(words)), size), number
 
 
@@ -119,7 +125,7 @@ def _counted(doc: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.n
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, n) for lots of words."""
-    hashes, held, size = WordHashes(), [], 0
+    numbers, held, size = WordNumbers(), [], 0
 
     def flush() -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -128,7 +134,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
-            held.append(_words_of(batch["text"].slice(a, 500).to_pylist(), hashes)[1])
+            held.append(_words_of(batch["text"].slice(a, 500).to_pylist(), numbers)[1])
             size += len(held[-1])
             if size > _LOT:
                 yield flush()
@@ -156,41 +162,40 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     texts = docs.select(text.alias("text"))
     words = stored(texts.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    top = sorted((r["key"], r["n"]) for r in words.orderBy(F.desc("n"), "key").limit(min(numbered, NUMBERED)).collect())  # NUMBERED rows at most
-    unigram = np.array([n for _, n in top], np.float64)
-    sent = spark.sparkContext.broadcast((np.array([k for k, _ in top], np.int64), unigram))
+    top = words.orderBy(F.desc("n"), "key").limit(min(numbered, NUMBERED)).toArrow()  # NUMBERED rows at most
+    order_of = np.argsort(top["key"].to_numpy())
+    known_keys, unigram = top["key"].to_numpy()[order_of], top["n"].to_numpy()[order_of].astype(np.float64)
+    sent = spark.sparkContext.broadcast((known_keys, unigram))
     head_keys = {n: _often(texts, sent, n, head) for n in range(2, order + 1)}
     heads_sent = spark.sparkContext.broadcast(head_keys)
 
-    def head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's occurrences of each broadcast n-gram."""
-        hashes = WordHashes()
-        found = {n: np.zeros(len(keys), np.int64) for n, keys in heads_sent.value.items()}
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                doc, number = _words_of(batch["text"].slice(a, 500).to_pylist(), hashes, sent.value[0])
-                for n, keys in heads_sent.value.items():
-                    at, there = _found(keys, gram_key(grams(doc, number, n)[1]))
-                    found[n] += np.bincount(at[there], minlength=len(keys))
-        for n, counts in found.items():
-            keys = heads_sent.value[n]
-            yield pa.record_batch([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys), pa.array(counts)], ["size", "key", "n"])
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
+    rows = docs.select(row.alias("row"), text.alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    row_type = to_arrow_type(rows.schema["row"].dataType)
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (row, size, key, n, a, b, m) for a document's other n-grams and for words without a number.
 
         Of n-grams that are hashed, a and b are the keys of all but the last and all but the first word, m that of those between.
+        Rows without a document carry how often the task has met each broadcast n-gram.
         """
-        hashes = WordHashes()
+        numbers = WordNumbers(sent.value[0])
+        often = {n: np.zeros(len(keys), np.int64) for n, keys in heads_sent.value.items()}
         names = ["row", "size", "key", "n", "a", "b", "m"]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                words_doc, number = _words_of(part["text"].to_pylist(), hashes, sent.value[0])
+                words_doc, number = _words_of(part["text"].to_pylist(), numbers)
                 for n in range(1, order + 1):
                     doc, parts = grams(words_doc, number, n)
                     at, key, count = _counted(doc, parts)
-                    other = key >= _HASHED if n == 1 else ~_found(heads_sent.value[n], key)[1]
+                    if n == 1:
+                        other = key >= _HASHED
+                    else:
+                        place, there = _found(heads_sent.value[n], key)
+                        often[n] += np.bincount(place[there], count[there], len(often[n])).astype(np.int64)
+                        other = ~there
                     at, key, count = at[other], key[other], count[other]
                     for first in range(0, len(at), 50_000):
                         c = slice(first, first + 50_000)
@@ -202,18 +207,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                             if inner:
                                 col[hashed] = gram_key(inner)
                             cols.append(pa.array(col))
-                        yield pa.record_batch([part["row"].take(pa.array(doc[at[c]])), pa.array(np.full(len(key[c]), n, np.int8)), pa.array(key[c]), pa.array(count[c].astype(np.int32)), *cols], names)
-
-    counted: dict[int, dict[int, int]] = {}
-    for r in texts.mapInArrow(head_counts, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect() if order > 1 else []:  # HEAD rows at most for each size
-        counted.setdefault(r["size"], {})[r["key"]] = r["n"]
-    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
-    rows = docs.select(row.alias("row"), text.alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    grown = rows.mapInArrow(tails, f"row {kind}, size tinyint, key long, n int, a long, b long, m long")
-    numbers_only = spark.createDataFrame([(i, float(c)) for i, c in enumerate(unigram)], "word long, c double")
+                        yield pa.record_batch([part["row"].take(pa.array(doc[at[c]])), pa.array(np.full(len(key[c]), n, np.int8)), pa.array(key[c]), pa.array(count[c]), *cols], names)
+        for n, counts in often.items():
+            met_here = np.flatnonzero(counts)
+            zeros = [pa.array(np.zeros(len(met_here), np.int64))] * 3
+            yield pa.record_batch([pa.nulls(len(met_here), row_type), pa.array(np.full(len(met_here), n, np.int8)), pa.array(heads_sent.value[n][met_here]), pa.array(counts[met_here]), *zeros], names)
+
+    grown = rows.mapInArrow(tails, f"row {kind}, size tinyint, key long, n long, a long, b long, m long")
+    numbers_only = spark.createDataFrame(pa.table({"word": np.arange(len(unigram)), "c": unigram}))
     small = lambda name: F.broadcast(numbers_only.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}")))  # noqa: E731  # NUMBERED rows at most
-    other = words.join(F.broadcast(spark.createDataFrame([(k,) for k, _ in top], "key long")), "key", "left_anti").select(F.col("key").alias("word"), F.col("n").cast("double").alias("c"))
+    other = words.join(F.broadcast(spark.createDataFrame(pa.table({"key": known_keys}))), "key", "left_anti").select(F.col("key").alias("word"), F.col("n").cast("double").alias("c"))
     every = other.unionByName(numbers_only)
     any_ = lambda name: every.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}"))
     last, mask = (1 << WORD_BITS) - 1, lambda c, by: F.shiftrightunsigned(F.col(c), by)
@@ -242,8 +245,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     singles = met.where("size = 1").select("row", (F.col("n") * (_log("c") - n_log + (order - 1) * a_log)).alias("s"))
     parts, weights, pairs = [singles], {}, None
     for n in range(2, order + 1):
-        mine = met.where(F.col("size") == n)
-        fixed = spark.createDataFrame([(k, float(c), 0, 0, 0) for k, c in counted.get(n, {}).items() if c >= min_count], "key long, c double, a long, b long, m long")
+        mine = met.where((F.col("size") == n) & F.col("row").isNotNull())
+        fixed = met.where((F.col("size") == n) & F.col("row").isNull()).select("key", "c", "a", "b", "m").distinct()  # HEAD rows at most
         if n == 2:
             weigh = two_words
             if order > 2:
@@ -260,13 +263,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per row its words, and the sum of what broadcast tables say."""
-        (known_words, unigram), hashes = sent.value, WordHashes()
+        known_words, unigram = sent.value
+        numbers = WordNumbers(known_words)
         log1 = np.log(np.maximum(unigram, 1)) - n_log + (order - 1) * a_log
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 texts_now = part["text"].to_pylist()
-                doc, number = _words_of(texts_now, hashes, known_words)
+                doc, number = _words_of(texts_now, numbers)
                 size = np.bincount(doc, minlength=len(texts_now))
                 known = number < _HASHED
                 s = np.bincount(doc[known], log1[number[known]], len(texts_now)).astype(np.float64)  # of nothing it makes whole numbers
@@ -292,10 +296,10 @@ def _often(texts: DataFrame, sent, n: int, head: int) -> np.ndarray:  # noqa: AN
     size = texts.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        numbers = WordNumbers(sent.value[0])
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                key = gram_key(grams(*_words_of(batch["text"].slice(a, 500).to_pylist(), hashes, sent.value[0]), n)[1])
+                key = gram_key(grams(*_words_of(batch["text"].slice(a, 500).to_pylist(), numbers), n)[1])
                 keys, counts = np.unique(key[key < _HASHED], return_counts=True)
                 yield pa.record_batch([pa.array(keys), pa.array(counts)], ["key", "n"])
 
