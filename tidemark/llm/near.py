@@ -33,7 +33,7 @@ WORDS, GROUP, MISS = 16, 64, 1e-3
 #: In a group beyond DENSE texts, or with more than CROWD near pairs a text, each text is tried with its NEAREST ones first.
 DENSE, CROWD, NEAREST = 512, 2, 3
 #: Rows gathered before a search; texts of one open group that a task compares with those outside its largest component.
-GATHER, BLOCK = 1 << 16, 1 << 15
+GATHER, BLOCK = 1 << 15, 1 << 15
 _RANDOM = np.random.default_rng(SEED)
 _XOR, _TIMES = (_RANDOM.integers(0, 1 << 64, WORDS, np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
@@ -195,17 +195,6 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.
             yield pa.record_batch([part["key"], pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch["set_a"], batch["set_b"], strict=True)):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if common >= similarity * (len(x) + len(y) - common):
-                keep.append(i)
-        yield pa.record_batch([batch["a"].take(pa.array(keep, pa.int64())), batch["b"].take(pa.array(keep, pa.int64()))], ["u", "v"])
-
-
 def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(u, root) for the keys that link: rows (key, text), prints (key, n, sketch) with one row a key."""
     places = tables(prints.count(), similarity)
@@ -231,7 +220,9 @@ def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHING
         """Pairs (u, v) that reach the similarity; one side's sets travel once a text, the other's once a pair."""
         one = alike(some).join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
         both = one.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
-        return stored(both.mapInArrow(partial(_compared, similarity=similarity), "u long, v long"), "linked")
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        alike_enough = common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)
+        return stored(both.where(alike_enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "linked")
 
     edges = linked(first)
     classes = stored(components(edges), "classes")

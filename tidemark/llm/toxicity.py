@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,11 +73,25 @@ def _rows_of_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.record_batch([part["shard"], part["place"], part["toxic"], pa.array(found, pa.list_(pa.int32()))], ["shard", "place", "toxic", "at"])
 
 
-def _train(rows: pd.DataFrame) -> pd.DataFrame:
-    """FTRL-proximal over one learner's rows, in an order fixed by place."""
-    rows = rows.sort_values("place")
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FTRL-proximal over each learner's rows, which come together and in the order of place."""
+    shard, held, marks = None, [], []
+    for batch in batches:
+        shards, lists = batch["shard"].to_numpy(), batch["at"]
+        for a in np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]).tolist() if len(shards) else []:
+            if shards[a] != shard:
+                if held:
+                    yield _learned(shard, held, marks)
+                shard, held, marks = shards[a], [], []
+            part = slice(a, a + int((shards[a:] == shard).sum()))
+            held += [lists[i].values.to_numpy().copy() for i in range(part.start, part.stop)]  # whole numbers of 32 bits, free of the batch
+            marks += batch["toxic"].slice(a, part.stop - a).to_pylist()
+    if held:
+        yield _learned(shard, held, marks)
+
+
+def _learned(shard: int, rows: list[np.ndarray], marks: list[int]) -> pa.RecordBatch:
     z, n = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
-    data = [(np.append(at, 0).astype(np.int64), int(y)) for at, y in zip(rows["at"], rows["toxic"], strict=True)]  # coordinate 0 is the bias
 
     def weights(at: np.ndarray) -> np.ndarray:
         zi = z[at]
@@ -86,7 +99,8 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
         return np.where(np.abs(zi) <= L1, 0.0, w)
 
     for _ in range(EPOCHS):
-        for at, y in data:
+        for row, y in zip(rows, marks, strict=True):
+            at = np.append(row, 0)  # coordinate 0 is the bias
             w = weights(at)
             g = 1 / (1 + math.exp(-max(-30.0, min(30.0, w.sum())))) - y
             was = n[at]
@@ -94,7 +108,7 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
             z[at] += g - (np.sqrt(now) - np.sqrt(was)) / ALPHA * w
             n[at] = now
     at = np.flatnonzero(np.abs(z) > L1)
-    return pd.DataFrame({"shard": rows["shard"].iloc[0], "at": at, "w": weights(at)})
+    return pa.record_batch([pa.array(np.full(len(at), shard, np.int32)), pa.array(at), pa.array(weights(at))], ["shard", "at", "w"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = rows.join(F.broadcast(taken), "__id")  # sample_rows at most
     shards = max(1, math.ceil(taken.count() / SHARD_ROWS))
     sample = sample.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).select("text", "shard", "place", "toxic")
-    learned = sample.mapInArrow(_rows_of_features, "shard int, place long, toxic int, at array<int>").groupBy("shard").applyInPandas(_train, "shard int, at long, w double")
+    learned = sample.mapInArrow(_rows_of_features, "shard int, place long, toxic int, at array<int>").repartition("shard").sortWithinPartitions("shard", "place", "at").mapInArrow(_train, "shard int, at long, w double")
     mean = learned.groupBy("at").agg((F.sum("w") / shards).alias("w")).orderBy("at").collect()  # 2^HASH_BITS rows at most
     return np.array([r["at"] for r in mean], np.int64), np.array([r["w"] for r in mean], np.float64)
 
