@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidemark.llm.common import clean_text, stored
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-WORD_BITS = 19
+WORD_BITS = 18
 #: Words with a small number, n-grams whose counts and weights are broadcast because a sample of SAMPLE rows shows them
 #: often: fixed bounds of some MB. They only decide how a word or n-gram travels, not its count or weight.
 NUMBERED, HEAD, SAMPLE = (1 << WORD_BITS) - 2, 200_000, 4_000
@@ -222,11 +222,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     last, mask = (1 << WORD_BITS) - 1, lambda c, by: F.shiftrightunsigned(F.col(c), by)
     packed, n_log, a_log = F.col("key") < int(_HASHED), math.log(max(total, 1)), math.log(alpha)
 
+    def weigh_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, c, ...) of packed pairs with their weight w."""
+        logs = np.log(np.maximum(sent.value[1], 1))
+        for batch in batches:
+            key = batch["key"].to_numpy()
+            w = np.log(batch["c"].to_numpy()) - logs[key >> WORD_BITS] - a_log - logs[key & last] + n_log
+            yield pa.record_batch([*batch.columns, pa.array(w)], [*batch.schema.names, "w"])
+
     def two_words(df: DataFrame) -> DataFrame:
         """Weights of pairs (key, c, a, b, ...)."""
-        near = df.where(packed).withColumns({"a": mask("key", WORD_BITS), "b": F.col("key").bitwiseAND(F.lit(last))}).join(small("a"), "a").join(small("b"), "b")
-        far = df.where(~packed).join(any_("a"), "a").join(any_("b"), "b")
-        return near.unionByName(far).withColumn("w", _log("c") - _log("c_a") - a_log - _log("c_b") + n_log)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        near = df.where(packed).mapInArrow(weigh_packed, f"{schema}, w double")
+        far = df.where(~packed).join(any_("a"), "a").join(any_("b"), "b").withColumn("w", _log("c") - _log("c_a") - a_log - _log("c_b") + n_log)
+        return near.unionByName(far.drop("c_a", "c_b"))
 
     def three_words(df: DataFrame, pairs: DataFrame) -> DataFrame:
         """Weights of runs of three (key, c, a, b, m, ...)."""
