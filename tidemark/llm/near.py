@@ -30,7 +30,11 @@ from tidemark.llm.simhash import GrayIndex, components, gray_rank
 SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Fingerprints in a sketch; texts that a group of unlike texts holds; pairs at the similarity that no table brings together.
 WORDS, GROUP, MISS = 16, 64, 1e-3
-#: In a group beyond DENSE texts, or with more than CROWD near pairs a text, each text is tried with its NEAREST ones first.
+#: Standard deviations beyond the mean that one and two fingerprints of a pair at the similarity may differ by in a table,
+#: and the part of such pairs that pass there; the same for word 0 and the whole sketch where a pair is tested once.
+IN_TABLE, PASS, ONCE = (2.5, 2.0), 0.94, (4.0, 3.3)
+#: In a group beyond DENSE texts, or with more than CROWD near pairs a text, each text is tried first with the
+#: NEAREST of its nearest ones and of those nearest to all.
 DENSE, CROWD, NEAREST = 512, 2, 3
 #: Rows gathered before a search; texts of one open group that a task compares with those outside its largest component.
 GATHER, BLOCK = 1 << 15, 1 << 15
@@ -74,7 +78,7 @@ def tables(n: int, similarity: float = SIMILARITY) -> np.ndarray:
     """Places of the bits of each table for n texts, (tables x bits)."""
     bits = max(4, math.ceil(math.log2(max(1, n / GROUP))))
     same = 1 - _most(similarity, 64 * WORDS, 2) / (64 * WORDS)
-    count = math.ceil(math.log(MISS) / math.log1p(-(same**bits)))
+    count = math.ceil(math.log(MISS) / math.log1p(-PASS * same**bits))
     random = np.random.default_rng(SEED)
     return np.stack([random.choice(64 * WORDS, bits, replace=False) for _ in range(count)])
 
@@ -123,6 +127,19 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         yield rest
 
 
+def _middle(w: np.ndarray, x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row the place of the row of its group, contiguous, that differs least from all the others together."""
+    bits = np.unpackbits(np.stack([w, x], axis=1).view(np.uint8), axis=1)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(group)])
+    ones = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
+    out = np.zeros(len(group), np.int64)
+    for at, size, one in zip(starts, sizes, ones, strict=True):
+        apart = bits[at : at + size] @ (size - 2 * one)
+        out[at : at + size] = at + np.argmin(apart)
+    return out
+
+
 def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows (value, key, w, x) sorted by value to near pairs (a, b, apart, kind).
 
@@ -152,22 +169,24 @@ def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int]) -> Iterator
                 apart = apart_of(a, b)
                 ok = apart <= near[1]
                 found.append((a[ok], b[ok], apart[ok]))
-        for step in range(1, 5):  # neighbours in Gray order
-            a = np.flatnonzero(dense[:-step] & (group[step:] == group[:-step])) if len(group) > step else np.zeros(0, np.int64)
-            apart = apart_of(a, a + step)
-            ok = apart <= near[1]
-            found.append((a[ok], a[ok] + step, apart[ok]))
+        a = np.flatnonzero(dense[:-1] & (group[1:] == group[:-1])) if len(group) > 1 else np.zeros(0, np.int64)  # neighbours in Gray order
+        apart = apart_of(a, a + 1)
+        ok = apart <= near[1]
+        found.append((a[ok], a[ok] + 1, apart[ok]))
         a, b, apart = (np.concatenate(c) for c in zip(*found, strict=True))
         crowded = np.bincount(group[a], minlength=len(size)) > CROWD * size
-        if crowded.any():  # of these the two nearest of each text only
+        opened = dense | crowded[group]
+        if opened.any():  # of these the nearest of each text, and all with the text nearest to all
             many = crowded[group[a]]
             of, to, d = np.r_[a[many], b[many]], np.r_[b[many], a[many]], np.r_[apart[many], apart[many]]
             order = np.lexsort((d, of))
             of, to, d = of[order], to[order], d[order]
-            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            rank = np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)]))
-            a, b, apart = np.r_[a[~many], of[rank < 2]], np.r_[b[~many], to[rank < 2]], np.r_[apart[~many], d[rank < 2]]
-        opened = dense | crowded[group]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+            rows = np.flatnonzero(opened)
+            middle = _middle(w[rows], x[rows], group[rows])
+            far = rows[middle != np.arange(len(rows))]
+            hub = rows[middle[middle != np.arange(len(rows))]]
+            a, b, apart = np.r_[a[~many], of[first], far], np.r_[b[~many], to[first], hub], np.r_[apart[~many], d[first], apart_of(far, hub)]
         yield out(np.minimum(key[a], key[b]), np.maximum(key[a], key[b]), apart, opened[a])
         open_ = np.flatnonzero(opened)
         yield out(value[open_], key[open_], np.zeros(len(open_)), np.full(len(open_), 2))
@@ -198,12 +217,14 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.
 def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(u, root) for the keys that link: rows (key, text), prints (key, n, sketch) with one row a key."""
     places = tables(prints.count(), similarity)
-    near = _most(similarity, 64, 4), _most(similarity, 128, 4)
+    near = _most(similarity, 64, IN_TABLE[0]), _most(similarity, 128, IN_TABLE[1])
     dealt = prints.select("key", "sketch").mapInArrow(partial(_dealt, places=places, whole=False), "value long, key long, w long, x long")
     searched = dealt.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_tried, near=near), "a long, b long, apart int, kind int")
     found = stored(searched, "near-pairs")
-    sides = found.where("kind < 2").select("a", "b", "apart", F.explode(F.array("a", "b")).alias("of")).distinct()
-    nearest = Window.partitionBy("of").orderBy("apart", "a", "b")
+    # the more tables propose a pair, the more alike it is
+    proposed = found.where("kind < 2").groupBy("a", "b").agg(F.count("*").alias("times"), F.min("apart").alias("apart"))
+    sides = proposed.select("a", "b", "times", "apart", F.explode(F.array("a", "b")).alias("of"))
+    nearest = Window.partitionBy("of").orderBy(F.desc("times"), "apart", "a", "b")
     first = stored(sides.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= NEAREST).select("a", "b").distinct(), "first-pairs")
     sized = prints.select("key", "n")
 
@@ -236,7 +257,7 @@ def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHING
     block = F.when(F.col("other") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
     spread = mixed.select(F.col("value"), "key", "root", "other", F.explode(block).alias("block"))
     spread = spread.select(F.xxhash64("value", "block").alias("value"), "other", "key", "root").join(prints.select("key", "sketch"), "key").select("value", "other", "key", "root", "sketch")
-    met = spread.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_met, near=near[0], most=_most(similarity, 64 * WORDS, 4)), "a long, b long")
+    met = spread.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_met, near=_most(similarity, 64, ONCE[0]), most=_most(similarity, 64 * WORDS, ONCE[1])), "a long, b long")
     later = stored(later.unionByName(met).distinct().join(first, ["a", "b"], "left_anti"), "later-pairs")
     if not later.limit(1).count():
         return classes
