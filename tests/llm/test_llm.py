@@ -155,9 +155,13 @@ def test_near_open_group_meets_across_components():
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(300)]
     some = [near.sketch(np.array(base[: 300 - k] + [rng.getrandbits(64) for _ in range(k)], np.uint64)) for k in (0, 5, 10, 15, 290)]
-    batch = pa.record_batch({"value": pa.array([1] * 5), "other": pa.array([0, 0, 1, 1, 1]), "key": pa.array(range(5)), "root": pa.array([0, 0, 2, 3, 4]), "sketch": pa.array([x.tobytes() for x in some])})
-    got = {(a, b) for out in near._met(iter([batch]), near._most(0.8, 64, 4), near._most(0.8, 1024, 4)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+    batch = pa.record_batch({"value": pa.array([1] * 5), "other": pa.array([0, 0, 1, 1, 1]), "key": pa.array(range(5)), "root": pa.array([0, 0, 2, 3, 4]), "number": pa.array([1] * 5, pa.int32()), "numbers": pa.array([[1]] * 5, pa.list_(pa.int32())), "sketch": pa.array([x.tobytes() for x in some])})
+    got = {(a, b) for out in near._met(iter([batch]), near._most(0.8, 64, 4), near._most(0.8, 1024, 4), near.tables(100)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
     assert got == {(0, 2), (1, 2), (0, 3), (1, 3), (2, 3)}
+    both = batch.set_column(5, "numbers", pa.array([[0, 1]] * 5, pa.list_(pa.int32())))
+    again = [r for out in near._met(iter([both]), near._most(0.8, 64, 4), near._most(0.8, 1024, 4), near.tables(100)) for r in out.to_pylist()]
+    places, bits = near.tables(100)[0], [np.unpackbits(x.view(np.uint8), bitorder="little") for x in some]
+    assert {(r["a"], r["b"]) for r in again} == {(i, j) for i, j in got if (bits[i][places] != bits[j][places]).any()}  # others came from table 0
 
 
 def test_near_dense_group_tries_the_nearest_and_stays_open():

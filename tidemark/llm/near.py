@@ -117,7 +117,7 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
     """Columns of whole groups of a value, gathered to some GATHER rows, from rows sorted by value."""
     rest: list | None = None
     for batch in batches:
-        now = [_words(batch[c]) if c == "sketch" else batch[c].to_numpy() for c in names]
+        now = [_words(batch[c]) if c == "sketch" else batch[c].to_numpy(zero_copy_only=False) for c in names]
         rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
         cut = np.flatnonzero(rest[0][1:] != rest[0][:-1]) if len(rest[0]) >= GATHER else []
         if len(cut):
@@ -192,18 +192,33 @@ def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int]) -> Iterator
         yield out(value[open_], key[open_], np.zeros(len(open_)), np.full(len(open_), 2))
 
 
-def _met(batches: Iterator[pa.RecordBatch], near: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (value, other, key, root, sketch) sorted by value, then those outside the largest component: pairs of two components."""
-    for value, other, key, root, sketches in _groups(batches, ("value", "other", "key", "root", "sketch")):
+def _met(batches: Iterator[pa.RecordBatch], near: int, most: int, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (value, other, key, root, number, numbers, sketch) sorted by value to pairs of two components.
+
+    number: the table; numbers: all tables where the text is in such a group. A pair comes from the first table that it shares.
+    """
+    power = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
+    for batch in _groups(batches, ("value", "other", "key", "root", "number", "numbers", "sketch")):
+        value, other, key, root, number, numbers, sketches = batch
         group = np.cumsum(np.r_[False, value[1:] != value[:-1]])
         order = np.lexsort((gray_rank(sketches[:, 0]), group))
-        group, other, key, root, sketches = group[order], other[order], key[order], root[order], sketches[order]
+        group, other, key, root, number, numbers, sketches = (v[order] for v in (group, other, key, root, number, numbers, sketches))
+        bits = np.unpackbits(sketches.view(np.uint8), axis=1, bitorder="little")
+        values = np.stack([bits[:, at] @ power for at in places], axis=1)
+        in_table = np.zeros((len(key), len(places)), bool)
+        in_table[np.repeat(np.arange(len(key)), [len(n) for n in numbers]), np.concatenate(numbers)] = True
+        before = np.arange(len(places))[None] < number[:, None]
         for a, b in GrayIndex(sketches[:, 0], group).pairs(near, np.flatnonzero(other)):
             a, b = (v[(root[a] != root[b]) & (key[a] != key[b])] for v in (a, b))
-            for c in range(0, len(a), 1 << 16):
-                i, j = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
+            for c in range(0, len(a), 1 << 15):
+                i, j = a[c : c + (1 << 15)], b[c : c + (1 << 15)]
                 ok = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int32) <= most
-                yield pa.record_batch([pa.array(np.minimum(key[i[ok]], key[j[ok]])), pa.array(np.maximum(key[i[ok]], key[j[ok]]))], ["a", "b"])
+                i, j = i[ok], j[ok]
+                new = ~((values[i] == values[j]) & in_table[i] & before[i]).any(axis=1)
+                i, j = i[new], j[new]
+                low, high = np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
+                once = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)  # both may be outside the largest component
+                yield pa.record_batch([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
@@ -255,9 +270,12 @@ def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHING
     most = open_.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
     mixed = open_.join(most, "value").withColumn("other", (F.col("root") != F.col("most")).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.when(F.col("other") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
-    spread = mixed.select(F.col("value"), "key", "root", "other", F.explode(block).alias("block"))
-    spread = spread.select(F.xxhash64("value", "block").alias("value"), "other", "key", "root").join(prints.select("key", "sketch"), "key").select("value", "other", "key", "root", "sketch")
-    met = spread.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_met, near=_most(similarity, 64, ONCE[0]), most=_most(similarity, 64 * WORDS, ONCE[1])), "a long, b long")
+    number = F.shiftright("value", 44).cast("int")
+    tables_of = mixed.groupBy("key").agg(F.collect_set(number).alias("numbers"))  # as many as there are tables at most
+    spread = mixed.select("key", "root", "other", "value", number.alias("number"), F.explode(block).alias("block"))
+    spread = spread.join(prints.select("key", "sketch").join(tables_of, "key"), "key")
+    spread = spread.select(F.xxhash64("value", "block").alias("value"), "other", "key", "root", "number", "numbers", "sketch")
+    met = spread.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_met, near=_most(similarity, 64, ONCE[0]), most=_most(similarity, 64 * WORDS, ONCE[1]), places=places), "a long, b long")
     later = stored(later.unionByName(met).distinct().join(first, ["a", "b"], "left_anti"), "later-pairs")
     if not later.limit(1).count():
         return classes
