@@ -22,8 +22,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -37,6 +39,8 @@ NUMBERED, HEAD, SAMPLE = (1 << WORD_BITS) - 2, 200_000, 4_000
 #: Words counted together before they are passed on, and word hashes a task keeps.
 _LOT, _KEPT = 1 << 22, 500_000
 _HASHED = np.int64(1) << np.int64(62)
+#: N-grams that a task passes on together, those of a bucket on average, and parts of a bucket that are counted one after the other.
+_LOT_GRAMS, _BUCKET, _PARTS = 1 << 20, 1 << 23, 16
 
 
 class WordNumbers(dict):
@@ -123,6 +127,89 @@ def _counted(doc: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return at, key[at], np.concatenate(counts)
 
 
+def unpacked(key: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n words, all with a number, of packed keys."""
+    return [key >> np.int64(WORD_BITS * (n - 1 - i)) & np.int64((1 << WORD_BITS) - 1) for i in range(n)]
+
+
+def _blob(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers, compressed: first all lowest bytes, then the next ones and so on."""
+    return zstandard.compress(np.stack(columns).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _of_blob(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(columns, -1)
+
+
+class _Lot:
+    """N-grams of some documents, flushed as rows by bucket (a hash of the n-gram) and number of words.
+
+    Such a row holds its documents once, and for each part of the bucket the n-grams: the document's place, the count there and
+    the words, in the order of first words, of which the steps are kept.
+    """
+
+    NAMES = ("bucket", "size", "docs", "parts")
+
+    def __init__(self, buckets: int, row_type: pa.DataType):
+        self.buckets, self.row_type = buckets, row_type
+        self._clear()
+
+    def _clear(self) -> None:
+        self.docs, self.before, self.seen, self.size, self.held = [], 0, 0, 0, {}
+
+    def documents(self, rows: pa.Array) -> None:
+        """Documents that the next n-grams belong to."""
+        self.docs.append(rows)
+        self.before, self.seen = self.seen, self.seen + len(rows)
+
+    def add(self, doc: np.ndarray, words: list[np.ndarray], count: np.ndarray) -> None:
+        hashed = np.logical_or.reduce([w >= _HASHED for w in words])
+        for kind in (False, True):  # apart, as they compress better so
+            rows = np.flatnonzero(hashed == kind)
+            if len(rows):
+                self.held.setdefault((len(words), kind), []).append((doc[rows] + self.before, count[rows], *(w[rows] for w in words)))
+        self.size += len(doc)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        docs = pa.concat_arrays([d.cast(self.row_type) for d in self.docs])
+        for (n, _), held in self.held.items():
+            doc, count, *words = (np.concatenate(x) for x in zip(*held, strict=True))
+            mixed = _mixed(words)
+            place = mixed % np.int64(self.buckets) * _PARTS + mixed // np.int64(self.buckets) % _PARTS
+            order = np.lexsort((words[0], place))
+            place, columns = place[order], [x[order] for x in (doc, count, *words)]
+            starts = np.flatnonzero(np.diff(place // _PARTS, prepend=-1))
+            rows = [self._row(n, docs, place[a:b], [x[a:b] for x in columns]) for a, b in zip(starts, np.r_[starts[1:], len(order)], strict=True)]
+            for i in range(0, len(rows), 200):
+                bucket, of, parts = zip(*rows[i : i + 200], strict=True)
+                ends = np.cumsum([0] + [len(d) for d in of])
+                of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(of))
+                yield pa.record_batch([pa.array(bucket, pa.int64()), pa.array(np.full(len(of), n, np.int8)), of, pa.array(parts, pa.list_(pa.binary()))], self.NAMES)
+        self._clear()
+
+    @staticmethod
+    def _row(n: int, docs: pa.Array, place: np.ndarray, columns: list[np.ndarray]) -> tuple[int, pa.Array, list[bytes | None]]:
+        used, at = np.unique(columns[0], return_inverse=True)
+        parts, starts = [None] * _PARTS, np.flatnonzero(np.diff(place, prepend=-1))
+        for a, b in zip(starts, np.r_[starts[1:], len(place)], strict=True):
+            count, first, *others = (x[a:b] for x in columns[1:])
+            parts[int(place[a]) % _PARTS] = _blob([at[a:b], count, np.diff(first, prepend=0), *others])
+        return int(place[0]) // _PARTS, docs.take(pa.array(used)), parts
+
+
+def _opened(blobs: list[bytes | None], before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(place of the document, count, words) of the n-grams in a part of a bucket's rows, before which so many documents stand."""
+    found = [np.zeros((n + 2, 0), np.int64)]
+    for blob, shift in zip(blobs, before.tolist(), strict=True):
+        if blob is not None:
+            columns = _of_blob(blob, n + 2)
+            columns[0] += shift
+            columns[2] = np.cumsum(columns[2])
+            found.append(columns)
+    doc, count, *words = np.concatenate(found, axis=1)
+    return doc, count, words
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, n) for lots of words."""
     numbers, held, size = WordNumbers(), [], 0
@@ -172,21 +259,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
     rows = docs.select(row.alias("row"), text.alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    row_type = to_arrow_type(rows.schema["row"].dataType)
+    row_type = pa.struct([pa.field(f.name, f.type) for f in to_arrow_type(rows.schema["row"].dataType)])
+
+    n_log, a_log = math.log(max(total, 1)), math.log(alpha)
+    buckets = total * max(1, order - 1) // _BUCKET + 1
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (row, size, key, n, a, b, m) for a document's other n-grams and for words without a number.
+        """Lots, by bucket, of the n-grams of documents that aren't broadcast, and of words without a number.
 
-        Of n-grams that are hashed, a and b are the keys of all but the last and all but the first word, m that of those between.
-        Rows without a document carry how often the task has met each broadcast n-gram.
+        N-grams of the null document carry how often the task has met each broadcast n-gram.
         """
         numbers = WordNumbers(sent.value[0])
         often = {n: np.zeros(len(keys), np.int64) for n, keys in heads_sent.value.items()}
-        names = ["row", "size", "key", "n", "a", "b", "m"]
+        lot = _Lot(buckets, row_type)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 words_doc, number = _words_of(part["text"].to_pylist(), numbers)
+                lot.documents(part["row"])
                 for n in range(1, order + 1):
                     doc, parts = grams(words_doc, number, n)
                     at, key, count = _counted(doc, parts)
@@ -196,31 +286,74 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                         place, there = _found(heads_sent.value[n], key)
                         often[n] += np.bincount(place[there], count[there], len(often[n])).astype(np.int64)
                         other = ~there
-                    at, key, count = at[other], key[other], count[other]
-                    for first in range(0, len(at), 50_000):
-                        c = slice(first, first + 50_000)
-                        hashed = np.flatnonzero(key[c] >= _HASHED)
-                        of = [p[at[c][hashed]] for p in parts]
-                        cols = []
-                        for inner in (of[:-1], of[1:], of[1:-1]):
-                            col = np.zeros(len(key[c]), np.int64)
-                            if inner:
-                                col[hashed] = gram_key(inner)
-                            cols.append(pa.array(col))
-                        yield pa.record_batch([part["row"].take(pa.array(doc[at[c]])), pa.array(np.full(len(key[c]), n, np.int8)), pa.array(key[c]), pa.array(count[c]), *cols], names)
+                    at = at[other]
+                    lot.add(doc[at], [p[at] for p in parts], count[other])
+                if lot.size > _LOT_GRAMS:
+                    yield from lot.flush()
+        lot.documents(pa.nulls(1, row_type))
         for n, counts in often.items():
             met_here = np.flatnonzero(counts)
-            zeros = [pa.array(np.zeros(len(met_here), np.int64))] * 3
-            yield pa.record_batch([pa.nulls(len(met_here), row_type), pa.array(np.full(len(met_here), n, np.int8)), pa.array(heads_sent.value[n][met_here]), pa.array(counts[met_here]), *zeros], names)
+            lot.add(np.zeros(len(met_here), np.int64), unpacked(heads_sent.value[n][met_here], n), counts[met_here])
+        yield from lot.flush()
+
+    def known(lots: pa.Table) -> pa.Table:
+        """Rows (row, size, key, n, c, a, b, m, s) of a bucket.
 
-    grown = rows.mapInArrow(tails, f"row {kind}, size tinyint, key long, n long, a long, b long, m long")
+        Size 0: s is the sum, by document, of what words and, at order 2, numbered pairs that occur min_count times say. Else an
+        n-gram that occurs min_count times; c is its count in all. Of hashed ones, a and b are the keys of all but the last and all but
+        the first word, m that of those between.
+        """
+        logs, out = np.log(np.maximum(sent.value[1], 1)), []
+
+        def put(row: pa.Array, size: int, key: np.ndarray, n: np.ndarray, c: np.ndarray, inner: list[np.ndarray], s: np.ndarray) -> None:
+            columns = [row, pa.array(np.full(len(key), size, np.int8)), *map(pa.array, (key, n, c, *inner, s))]
+            out.append(pa.table(columns, ["row", "size", "key", "n", "c", "a", "b", "m", "s"]))
+
+        for n in range(1, order + 1):
+            mine = lots.filter(pc.equal(lots["size"], n))
+            held = [d.values for d in mine["docs"]]
+            docs_of = pa.concat_arrays([d.cast(row_type) for d in held]) if held else pa.nulls(0, row_type)
+            before = np.cumsum([0] + [len(d) for d in held])[:-1]
+            nobody = docs_of.is_null().to_numpy(zero_copy_only=False)
+            sums, met_here = np.zeros(len(docs_of)), np.zeros(len(docs_of), bool)
+            for i in range(_PARTS):
+                doc, count, words = _opened(pc.list_element(mine["parts"], i).to_pylist() if len(mine) else [], before, n)
+                key = gram_key(words)
+                _, group = np.unique(key, return_inverse=True)
+                c = np.bincount(group, count, 1)[group].astype(np.float64)  # of nothing it makes whole numbers
+                keep = c >= (min_count if n > 1 else 1)
+                if n == 1:
+                    here, w = keep, np.log(c) - n_log + (order - 1) * a_log
+                elif order == 2:
+                    here = keep & (key < _HASHED) & ~nobody[doc]
+                    w = np.log(c) + n_log - a_log
+                    w[here] -= logs[words[0][here]] + logs[words[1][here]]
+                else:
+                    here, w = np.zeros(len(key), bool), c
+                sums += np.bincount(doc[here], count[here] * w[here], len(sums))
+                met_here[doc[here]] = True
+                rest = np.flatnonzero(keep & ~here)
+                hashed, inner_keys = np.flatnonzero(key[rest] >= _HASHED), []
+                of = [x[rest][hashed] for x in words]
+                for inner in (of[:-1], of[1:], of[1:-1]):
+                    col = np.zeros(len(rest), np.int64)
+                    if inner:
+                        col[hashed] = gram_key(inner)
+                    inner_keys.append(col)
+                put(docs_of.take(pa.array(doc[rest])), n, key[rest], count[rest], c[rest], inner_keys, np.zeros(len(rest)))
+            at = np.flatnonzero(met_here)
+            none = np.zeros(len(at), np.int64)
+            put(docs_of.take(pa.array(at)), 0, none, none, none.astype(np.float64), [none] * 3, sums[at])
+        return pa.concat_tables(out)
+
+    lots = rows.mapInArrow(tails, f"bucket long, size tinyint, docs array<{kind}>, parts array<binary>")
     numbers_only = spark.createDataFrame(pa.table({"word": np.arange(len(unigram)), "c": unigram}))
     small = lambda name: F.broadcast(numbers_only.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}")))  # noqa: E731  # NUMBERED rows at most
     other = words.join(F.broadcast(spark.createDataFrame(pa.table({"key": known_keys}))), "key", "left_anti").select(F.col("key").alias("word"), F.col("n").cast("double").alias("c"))
     every = other.unionByName(numbers_only)
     any_ = lambda name: every.select(F.col("word").alias(name), F.col("c").alias(f"c_{name}"))
     last, mask = (1 << WORD_BITS) - 1, lambda c, by: F.shiftrightunsigned(F.col(c), by)
-    packed, n_log, a_log = F.col("key") < int(_HASHED), math.log(max(total, 1)), math.log(alpha)
+    packed = F.col("key") < int(_HASHED)
 
     def weigh_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (key, c, ...) of packed pairs with their weight w."""
@@ -246,15 +379,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         near, far = both.where(F.col("m") <= last).join(small("m"), "m"), both.where(F.col("m") > last).join(any_("m"), "m")
         return near.unionByName(far).withColumn("w", _log("c") - _log("c_a") - a_log - _log("c_b") + _log("c_m"))
 
-    # One exchange by n-gram: there every n-gram gets its count. N-grams that a sample shows often travel as broadcast
-    # counts instead, so none that is left holds a notable part of the rows; a window over a long one spills.
-    of_gram = Window.partitionBy("size", "key")
-    met = grown.repartition("key").withColumn("c", F.sum("n").over(of_gram).cast("double")).where((F.col("size") == 1) | (F.col("c") >= min_count))
-    met = stored(met, "known-grams")
-    singles = met.where("size = 1").select("row", (F.col("n") * (_log("c") - n_log + (order - 1) * a_log)).alias("s"))
-    parts, weights, pairs = [singles], {}, None
+    # One exchange by n-gram: there every n-gram gets its count. It carries lots of n-grams, as a row each would take several times
+    # the bytes. N-grams that a sample shows often travel as broadcast counts, so none that is left fills a bucket.
+    met = stored(lots.groupBy("bucket").applyInArrow(known, f"row {kind}, size tinyint, key long, n long, c double, a long, b long, m long, s double"), "known-grams")
+    parts, weights, pairs = [met.where("size = 0").select("row", "s")], {}, None
     for n in range(2, order + 1):
-        mine = met.where((F.col("size") == n) & F.col("row").isNotNull())
+        mine = met.where((F.col("size") == n) & F.col("row").isNotNull()).drop("s")
         fixed = met.where((F.col("size") == n) & F.col("row").isNull()).select("key", "c", "a", "b", "m").distinct()  # HEAD rows at most
         if n == 2:
             weigh = two_words
