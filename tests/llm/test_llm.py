@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import near, simhash
+from tidemark.llm import lm_score, near, simhash
 from tidemark.llm.chat_format import format_chats, violations
 from tidemark.llm.exact_dedup import exact_dedup, grow_directory, keep_one_of_equal
 from tidemark.llm.langid import identify, language_id, train
@@ -360,6 +360,39 @@ def test_lm_scores_equal_brute_force_whatever_is_numbered_or_broadcast(spark):
             assert r["score"] == (None if not words[r["doc_id"]] else r["log_score"] / r["n_words"])
 
 
+def test_lm_lots_give_back_what_they_take():
+    rng = np.random.default_rng(4)
+    kind = pa.struct([("id", pa.int64()), ("h", pa.int64())])
+    numbers, want, got = [*range(6), *(lm_score._HASHED + np.arange(1, 6) * 10**15)], [], []
+    lot, batches = lm_score._Lot(5, kind), []
+    for start in (0, 4, 8, 12):
+        lot.documents(pa.array([{"id": i, "h": -i} for i in range(start, start + 4)], kind))
+        for n in (1, 2, 3):
+            doc, words, count = rng.integers(0, 4, 50), [rng.choice(numbers, 50) for _ in range(n)], rng.integers(1, 2**40, 50)
+            lot.add(doc, words, count)
+            want += [(n, int(start + doc[i]), int(count[i]), *(int(w[i]) for w in words)) for i in range(50)]
+        if start in (4, 12):
+            batches += lot.flush()
+    lots = pa.Table.from_batches(batches)
+    for n in (1, 2, 3):
+        for row in (r for r in lots.to_pylist() if r["size"] == n):
+            for blob in row["parts"]:
+                doc, count, words = lm_score._opened([blob], np.zeros(1, np.int64), n)
+                got += [(n, row["docs"][doc[i]]["id"], int(count[i]), *(int(w[i]) for w in words)) for i in range(len(doc))]
+                assert len({(lm_score._mixed(words) % 5)[i] for i in range(len(doc))} | {row["bucket"]}) == 1
+    assert sorted(got) == sorted(want)
+
+
+def test_lm_scores_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "_BUCKET", 40)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(1, 40))) for _ in range(30)]
+    want = brute_scores([t.split() for t in texts], 2, 2)
+    rows = lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), numbered=8, head=5).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(30))
+    assert all(abs(r["log_score"] - want[r["doc_id"]]) < 1e-9 for r in rows)
+
+
 def test_lm_scores_of_odd_rows(spark):
     odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b"), (4, None), (5, "b " * 30_000)], "doc_id long, text string")
     rows = lm_scores(odd).collect()
