@@ -139,6 +139,28 @@ def test_boxes(spark):
     assert coded.where(curves.in_ranges(F.col("z"), curves.box_ranges(3, 5, 11, 17)) & curves.in_box(F.col("z"), 3, 5, 11, 17)).count() == 9 * 13
 
 
+def _plan_of(df: DataFrame) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _made_by_batch(df: DataFrame) -> bool:
+    """Codes are made for a batch of rows, not by thousands of terms for each row."""
+    plan = _plan_of(df)
+    return "lambda" not in plan and len(plan) < 5000
+
+
+def test_box_of_codes_is_cut_by_batch(spark):
+    data = [(-1, 0), (None, 3), (99, 20), (100, 20), (357, 90), (358, 90), (200, 55), (200, -1), (1 << 40, 30)]
+    coded = spark.createDataFrame(data, "x long, y long").select("x", "y", curves.morton2(F.col("x"), F.col("y")).alias("z"))
+    box = 100, 20, 357, 90
+    cut = coded.where(curves.in_ranges(F.col("z"), curves.box_ranges(*box)) & curves.in_box(F.col("z"), *box))
+    assert sorted(map(tuple, cut.select("x", "y").collect())) == [(100, 20), (200, 55), (357, 90)] and _made_by_batch(cut)
+    overlapping = [(1, 9), (2, 3), (20, 20)]
+    codes = spark.createDataFrame([(f"{v:032X}",) for v in (0, 1, 4, 9, 10, 20, 21)] + [(None,)], "z string")
+    assert [r[0] for r in codes.select(curves.in_ranges(F.col("z"), overlapping)).collect()] == [False, True, True, True, False, True, False, None]
+    assert not codes.where(curves.in_ranges(F.col("z"), [])).count()
+
+
 def test_addresses(spark):
     epochs = [(0, 16, 0), (2678400, 128, 42854746)]
     points = spark.createDataFrame([(100, 5), (2678408, 7), (2678400 - 1, 15), (-1, 3)], "t long, n long")
