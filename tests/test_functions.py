@@ -161,6 +161,16 @@ def test_box_of_codes_is_cut_by_batch(spark):
     assert not codes.where(curves.in_ranges(F.col("z"), [])).count()
 
 
+def test_codes_are_decoded_by_batch(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    data = [(low, high), (high, low), (-1, 0), (0, -1), (1 << 31, 1 << 32)]
+    x, y = curves.demorton2(curves.morton2(F.col("x"), F.col("y")))
+    back = spark.createDataFrame(data + [(None, 1)], "x long, y long").select(x.alias("u"), y.alias("v"))
+    assert [tuple(r) for r in back.collect()] == data + [(None, None)] and _made_by_batch(back)
+    texts = spark.createDataFrame([("0" * 31,), ("é" * 16,), ("g" * 32,), ("0" * 31 + "f",)], "z string")
+    assert [tuple(r) for r in texts.select(*curves.demorton2(F.col("z"))).collect()] == [(None, None)] * 3 + [(3, 3)]
+
+
 def test_addresses(spark):
     epochs = [(0, 16, 0), (2678400, 128, 42854746)]
     points = spark.createDataFrame([(100, 5), (2678408, 7), (2678400 - 1, 15), (-1, 3)], "t long, n long")
