@@ -171,6 +171,14 @@ def test_codes_are_decoded_by_batch(spark):
     assert [tuple(r) for r in texts.select(*curves.demorton2(F.col("z"))).collect()] == [(None, None)] * 3 + [(3, 3)]
 
 
+def test_hilbert_codes_are_made_by_batch(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    data = [(low, high), (high, low), (low, low), (high, high), (-1, 0), (0, -1), (1704067200, 149)]
+    coded = spark.createDataFrame(data + [(None, 1), (1, None)], "x long, y long").select(curves.hilbert2(F.col("x"), F.col("y")).alias("h"))
+    want = [f"{hilbert(*p):032X}" for p in data] + [None, None]
+    assert [r["h"] for r in coded.collect()] == want and _made_by_batch(coded)
+
+
 def test_addresses(spark):
     epochs = [(0, 16, 0), (2678400, 128, 42854746)]
     points = spark.createDataFrame([(100, 5), (2678408, 7), (2678400 - 1, 15), (-1, 3)], "t long, n long")
