@@ -179,6 +179,14 @@ def test_hilbert_codes_are_made_by_batch(spark):
     assert [r["h"] for r in coded.collect()] == want and _made_by_batch(coded)
 
 
+def test_codes_of_three_are_made_by_batch(spark):
+    high = (1 << 42) - 1
+    data = [(high, 0, 0), (0, high, 0), (0, 0, high), (-1, -1, -1), (1 << 42, 1 << 20, 1 << 21), (5, 7, 1)]
+    coded = spark.createDataFrame(data + [(None, 1, 1)], "x long, y long, z long").select(curves.morton3(F.col("x"), F.col("y"), F.col("z")).alias("c"))
+    want = [f"{sum((v >> i & 1) << 3 * i + k for k, v in enumerate(p) for i in range(42)):032X}" for p in data] + [None]
+    assert [r["c"] for r in coded.collect()] == want and _made_by_batch(coded)
+
+
 def test_addresses(spark):
     epochs = [(0, 16, 0), (2678400, 128, 42854746)]
     points = spark.createDataFrame([(100, 5), (2678408, 7), (2678400 - 1, 15), (-1, 3)], "t long, n long")
