@@ -12,6 +12,7 @@ from tidemark.functions import addressing, curves
 from tidemark.functions.frames import from_epoch, trunc
 from tidemark.functions.states import CANDLE, FORMULAS, MOMENTS, SKETCH, candle_array, candle_json, moments_of_count, moments_of_value, sketch_quantile
 from tidemark.operators.intervals import unify_intervals
+from tidemark.plans import catalogue
 
 # fixed values: statistics of the numbers 0 to 999, 10000 and -5000
 GOLDEN = {"count": 1002, "avg": 503.4930139720559, "variance": 203617.6567943035, "skewness": 7.4922857702305725, "kurtosis": 215.5949153892171, "min": -5000.0, "max": 10000.0}
@@ -208,6 +209,20 @@ def test_addresses(spark):
     assert (stats[0]["rows"], stats[0]["dense"], stats[2]["dense"], stats[201]["first_t"], stats[201]["last_tenant"]) == (2, True, True, 100, 5)
 
 
+def _events_in(spark, folder, rows) -> str:
+    data = [(i, t, user, "click", value, "") for i, t, user, value in rows]
+    made = spark.createDataFrame(data, "event_id long, t double, user_id long, event_type string, value double, props string")
+    made.withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long"))).drop("t").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_page_fill_counts_every_row(spark, tmp_path):
+    jan = float(catalogue.JAN)
+    rows = [(0, jan + 1.5, 0, 1.0), (1, jan, 1024, 2.0), (2, jan + 1, 9000, 3.0), (3, None, 5, 4.0), (4, jan + 1, None, 5.0), (5, jan + 5, 1023, 6.0)]
+    got = sorted(map(tuple, catalogue.page_fill(spark, _events_in(spark, tmp_path, rows)).collect()), key=str)
+    assert got == sorted([(1024 // 509, 2), (10024 // 509, 1), (6143 // 509, 1), (None, 2)], key=str)
+
+
 def test_times(spark):
     rows = spark.createDataFrame([(1710043200,), (1710127800,), (1710131400,)], "t long")  # 2024-03-10 04:00, 03-11 03:30 and 04:30 UTC
     days = [str(r[0])[:16] for r in rows.select(from_epoch(trunc("day", F.col("t"), "America/New_York"))).collect()]

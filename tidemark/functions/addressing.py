@@ -46,10 +46,15 @@ def epoch_address(at: Column, epochs: Epochs) -> tuple[Column, Column]:
     return _by_epoch(at, bases, [t for t, _ in of]).cast("long"), _by_epoch(at, bases, [x for _, x in of]).cast("long")
 
 
-def pack_slots(rows: DataFrame, scale: int, compact: bool = False) -> DataFrame:
-    """rows (t, tenant, value) as (slot, value), or compactly as (slot, t int, value float). Negative times and tenants outside [0, scale) are left out."""
-    inside = rows.where((F.col("t") >= 0) & F.col("tenant").between(0, scale - 1)).withColumn("slot", slot(F.col("t"), F.col("tenant"), scale))
-    return inside.select("slot", F.col("t").cast("int"), F.col("value").cast("float")) if compact else inside.select("slot", "value")
+def pack_slots(rows: DataFrame, scale: int, compact: bool = False, every: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows (t, tenant, value) as (slot, value), or compactly as (slot, t int, value float), with the columns of `by`.
+
+    Negative times and tenants outside [0, scale) are left out, as their slots are those of other addresses. With `every` they
+    stay, also those without a time or tenant; name in `by` what tells rows of a slot apart.
+    """
+    inside = rows if every else rows.where((F.col("t") >= 0) & F.col("tenant").between(0, scale - 1))
+    inside = inside.withColumn("slot", slot(F.col("t"), F.col("tenant"), scale))
+    return inside.select("slot", F.col("t").cast("int"), F.col("value").cast("float"), *by) if compact else inside.select("slot", "value", *by)
 
 
 def scan_slots(packed: DataFrame, scale: int) -> DataFrame:
@@ -63,6 +68,17 @@ def read_slot(packed: DataFrame, t: int, tenant: int, scale: int) -> DataFrame:
     return packed.where(F.col("slot") == t * scale + tenant).select("value").limit(1)
 
 
+def read_slots(packed: DataFrame, points: DataFrame, scale: int, by: tuple[str, ...]) -> DataFrame:
+    """The packed rows of some points (t, tenant, ...), few enough to broadcast; `by` tells rows of a slot apart."""
+    at = points.select(slot(F.col("t"), F.col("tenant"), scale).alias("slot"), *by)
+    return _of_points(packed, at, "slot", *by)
+
+
+def _of_points(rows: DataFrame, points: DataFrame, *names: str) -> DataFrame:
+    rows, points = rows.alias("r"), F.broadcast(points.select(*names).distinct()).alias("p")
+    return rows.join(points, reduce(lambda a, b: a & b, [F.col(f"r.{n}").eqNullSafe(F.col(f"p.{n}")) for n in names]), "left_semi")
+
+
 def page_stats(packed: DataFrame, scale: int, slots: int = SLOTS) -> DataFrame:
     """By page: rows, part of its slots filled, the addresses it spans, and whether its rows lie in slot order without gaps."""
     page, _ = block(F.col("slot"), slots)
@@ -71,12 +87,12 @@ def page_stats(packed: DataFrame, scale: int, slots: int = SLOTS) -> DataFrame:
     return by.select("page", "rows", (F.col("rows") / slots).alias("fill"), t0.alias("first_t"), n0.alias("first_tenant"), t1.alias("last_t"), n1.alias("last_tenant"), (F.col("high") - F.col("low") + 1 == F.col("rows")).alias("dense"))
 
 
-def pack_blocks(rows: DataFrame, seconds: int = 64) -> DataFrame:
-    """(block, tenant, points): the (t, value) pairs of each tenant and block of seconds, in order; lossless.
+def pack_blocks(rows: DataFrame, seconds: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """(block, tenant, points): the (t, value) pairs of each tenant and block of seconds, with the columns of `by`, in order; lossless.
 
     An array holds the points of one tenant in `seconds`, so keep that short where tenants are hot.
     """
-    return rows.groupBy(F.floor(F.col("t") / seconds).alias("block"), "tenant").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("points"))
+    return rows.groupBy(F.floor(F.col("t") / seconds).alias("block"), "tenant").agg(F.array_sort(F.collect_list(F.struct("t", "value", *by))).alias("points"))
 
 
 def scan_blocks(blocks: DataFrame) -> DataFrame:
@@ -91,3 +107,9 @@ def read_block(blocks: DataFrame, number: int, tenant: int) -> DataFrame:
 def read_block_point(blocks: DataFrame, t: int, tenant: int, seconds: int = 64) -> DataFrame:
     """The value at an address, in no row or one."""
     return read_block(blocks, t // seconds, tenant).where(F.col("t") == t).select("value").limit(1)
+
+
+def read_block_points(blocks: DataFrame, points: DataFrame, by: tuple[str, ...], seconds: int = 64) -> DataFrame:
+    """The points of blocks at the addresses of some points (t, tenant, ...), few enough to broadcast; `by` tells those of an address apart."""
+    held = _of_points(blocks, points.withColumn("block", F.floor(F.col("t") / seconds)), "block", "tenant")
+    return _of_points(held.select("tenant", F.inline("points")), points, "t", "tenant", *by)
