@@ -497,3 +497,14 @@ def test_packing_in_shards_wastes_little(spark):
         used[shard_rows] = len({(r["shard"], r["bin"]) for r in packed})
     least = sum(r["n_tokens"] for r in packed) / 512
     assert least <= used[100_000] <= used[500] <= 1.1 * used[100_000]
+
+
+def test_rare_words_are_found_without_numpy():
+    from tidemark.llm.lm_score import WordNumbers
+
+    hashes = np.sort(np.array([WordNumbers()[w] for w in ("a", "b", "é")], np.int64))
+    want = {w: int(hashes.searchsorted(WordNumbers()[w])) for w in ("a", "b", "é")}
+    numbers = WordNumbers(hashes.copy())
+    hashes_of = [v for k, v in vars(numbers).items() if isinstance(v, np.ndarray)]
+    assert not hashes_of and {w: numbers[w] for w in want} == want
+    assert numbers["z"] == WordNumbers()["z"] >= 1 << 62

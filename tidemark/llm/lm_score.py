@@ -48,16 +48,14 @@ class WordNumbers(dict):
 
     def __init__(self, top: np.ndarray | None = None):
         super().__init__()
-        self.top = top if top is not None else np.zeros(0, np.int64)
+        # looked up once for each rare word, where a call of numpy would take longer than all else
+        self.place = {} if top is None else dict(zip(top.tolist(), range(len(top)), strict=True))
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _KEPT:
             self.clear()
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) >> 2 | 1 << 62
-        at = int(self.top.searchsorted(value))
-        if at < len(self.top) and self.top[at] == value:
-            value = at
-        self[word] = value
+        value = self[word] = self.place.get(value, value)
         return value
 
 
@@ -394,10 +392,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         else:
             weigh = lambda df: three_words(df, pairs)
         parts.append(weigh(mine).select("row", (F.col("n") * F.col("w")).alias("s")))
-        got = weigh(fixed).select("key", "w").collect()  # HEAD rows at most
-        keys = np.array(sorted(r["key"] for r in got), np.int64)
-        value = {r["key"]: r["w"] for r in got}
-        weights[n] = (keys, np.array([value[k] for k in keys.tolist()]))
+        got = weigh(fixed).select("key", "w").toArrow()  # HEAD rows at most
+        keys = got["key"].to_numpy()
+        order_of = np.argsort(keys)
+        weights[n] = (keys[order_of], got["w"].to_numpy()[order_of])
     weights_sent = spark.sparkContext.broadcast(weights)
 
     def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,5 +441,5 @@ def _often(texts: DataFrame, sent, n: int, head: int) -> np.ndarray:  # noqa: AN
                 yield pa.record_batch([pa.array(keys), pa.array(counts)], ["key", "n"])
 
     some = texts.sample(fraction=min(1.0, SAMPLE / max(size, 1)), seed=5).mapInArrow(run, "key long, n long")
-    often = some.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > 1).orderBy(F.desc("n"), "key").limit(head).select("key").collect()
-    return np.sort(np.array([r["key"] for r in often], np.int64))
+    often = some.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > 1).orderBy(F.desc("n"), "key").limit(head).select("key").toArrow()
+    return np.sort(often["key"].to_numpy())
