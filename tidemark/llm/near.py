@@ -267,14 +267,17 @@ def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHING
     later = apart(pairs)
     # groups with texts of several components: those outside the largest one meet every text of the group
     open_ = stored(root(found.where("kind = 2").select(F.col("a").alias("value"), F.col("b").alias("key")), "key", "root"), "open")
-    most = open_.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = open_.join(most, "value").withColumn("other", (F.col("root") != F.col("most")).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    of_root, of_value = Window.partitionBy("value", "root"), Window.partitionBy("value")
+    sized_open = open_.repartition("value").withColumn("alike", F.count("*").over(of_root))
+    most = F.max_by("root", F.struct("alike", "root")).over(of_value)
+    mixed = sized_open.select("value", "key", "root", most.alias("most"), F.count("*").over(of_value).alias("n"), F.min("root").over(of_value).alias("low"), F.max("root").over(of_value).alias("high")).where("low <> high")
+    mixed = mixed.withColumn("other", (F.col("root") != F.col("most")).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.when(F.col("other") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
-    number = F.shiftright("value", 44).cast("int")
-    tables_of = mixed.groupBy("key").agg(F.collect_set(number).alias("numbers"))  # as many as there are tables at most
-    spread = mixed.select("key", "root", "other", "value", number.alias("number"), F.explode(block).alias("block"))
-    spread = spread.join(prints.select("key", "sketch").join(tables_of, "key"), "key")
-    spread = spread.select(F.xxhash64("value", "block").alias("value"), "other", "key", "root", "number", "numbers", "sketch")
+    # a text meets its sketch once, not once a table
+    number = F.shiftright("value", 44).cast("int").alias("number")
+    tables_of = mixed.groupBy("key").agg(F.collect_list(F.struct("value", "root", "other", "blocks", number)).alias("of"))  # as many as there are tables at most
+    spread = prints.select("key", "sketch").join(tables_of, "key").select("key", "sketch", F.array_distinct("of.number").alias("numbers"), F.inline("of"))
+    spread = spread.withColumn("block", F.explode(block)).select(F.xxhash64("value", "block").alias("value"), "other", "key", "root", "number", "numbers", "sketch")
     met = spread.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_met, near=_most(similarity, 64, ONCE[0]), most=_most(similarity, 64 * WORDS, ONCE[1]), places=places), "a long, b long")
     later = stored(later.unionByName(met).distinct().join(first, ["a", "b"], "left_anti"), "later-pairs")
     if not later.limit(1).count():
