@@ -164,6 +164,59 @@ def test_near_open_group_meets_across_components():
     assert {(r["a"], r["b"]) for r in again} == {(i, j) for i, j in got if (bits[i][places] != bits[j][places]).any()}  # others came from table 0
 
 
+def _unlike(seed: int, n: int) -> dict[int, str]:
+    """Texts that are near, but below the similarity: six of 400 words are other ones; every tenth has a copy with one more."""
+    rng, out = random.Random(seed), {}
+    for k in range(n):
+        words = [f"w{i}" for i in range(400)]
+        for i in rng.sample(range(10, 390), 6):
+            words[i] = f"x{k}.{i}"
+        out[k] = " ".join(words)
+        if k % 10 == 0:
+            out[n + k] = out[k].replace(" w3 ", f" y{k} ")
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 22, 6000])
+def test_near_dense_group_of_unlike_texts_makes_no_row_a_pair(spark, monkeypatch, block):
+    texts, made = _unlike(3, 150), {}
+    sets = {k: set(shingles(t.encode()).tolist()) for k, t in texts.items()}
+    alike = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(alike) >= 15
+    kept = near.stored
+
+    def counted(df, name):
+        made.setdefault(name, []).append(rows := kept(df, name))
+        return rows
+
+    monkeypatch.setattr(near, "stored", counted)
+    monkeypatch.setattr(near, "BLOCK", block)
+    if block == 6000:  # all links come from cells
+        monkeypatch.setattr(near, "NEAREST", 0)
+    rows = spark.createDataFrame([(k, t, near.sketch(shingles(t.encode())).tobytes(), len(sets[k])) for k, t in texts.items()], "key long, text string, sketch binary, n long")
+    found = {r["u"]: r["root"] for r in similar_texts(rows.select("key", "text"), rows.select("key", "n", "sketch")).collect()}
+    label = {k: k for k in texts}
+    for _ in range(3):
+        for a, b in alike:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {k: found.get(k, k) for k in texts} == label
+    assert max(r.count() for name, all_ in made.items() if name != "near-pairs" and name != "open" for r in all_) <= 3 * len(texts)
+
+
+def test_near_met_compares_sets_and_joins_components_once():
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    some = [np.unique(np.array(base[: 300 - k] + [rng.getrandbits(64) for _ in range(k)], np.uint64)) for k in (0, 5, 10, 50, 15)]
+    batch = pa.record_batch({"value": pa.array([1] * 5), "other": pa.array([0, 0, 1, 1, 2]), "key": pa.array(range(5)), "root": pa.array([0, 0, 2, 3, 4]), "number": pa.array([1] * 5, pa.int32()), "numbers": pa.array([[1]] * 5, pa.list_(pa.int32())), "sketch": pa.array([near.sketch(x).tobytes() for x in some]), "set": pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64()))})
+    got = [(a, b) for out in near._met(iter([batch]), 64, 1024, near.tables(100), 0.8) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+    label = {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    for a, b in got:
+        common = len(np.intersect1d(some[a], some[b]))
+        assert common >= 0.8 * (len(some[a]) + len(some[b]) - common)
+        label = {k: min(label[a], label[b]) if v in (label[a], label[b]) else v for k, v in label.items()}
+    assert len(got) <= 10 and label == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0}
+
+
 def test_near_dense_group_tries_the_nearest_and_stays_open():
     rng = np.random.default_rng(5)
     w = np.full(600, 12345, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64))

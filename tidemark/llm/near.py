@@ -9,7 +9,8 @@ index finds pairs whose fingerprints are near enough, and pairs link only once t
 
 Pairs of a dense group are not all made: each text is tried with its nearest ones first. Only where
 texts of a group are still apart after that, those outside the group's largest component
-meet all others, so no link between components is lost.
+meet all others, so no link between components is lost. They are compared where they meet, and only
+pairs that join two components leave: rows grow with texts, not with the pairs of a group.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clean_text, stored
-from tidemark.llm.simhash import GrayIndex, components, gray_rank
+from tidemark.llm.simhash import GrayIndex, components, gray_rank, unite
 
 SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Fingerprints in a sketch; texts that a group of unlike texts holds; pairs at the similarity that no table brings together.
@@ -36,8 +37,10 @@ IN_TABLE, PASS, ONCE = (2.5, 2.0), 0.94, (4.0, 3.3)
 #: In a group beyond DENSE texts, or with more than CROWD near pairs a text, each text is tried first with the
 #: NEAREST of its nearest ones and of those nearest to all.
 DENSE, CROWD, NEAREST = 512, 2, 3
-#: Rows gathered before a search; texts of one open group that a task compares with those outside its largest component.
-GATHER, BLOCK = 1 << 15, 1 << 15
+#: Rows gathered before a search, and with whole sets; shingles of one open group that a task compares with as many others.
+GATHER, GATHER_SETS, BLOCK = 1 << 15, 1 << 12, 1 << 22
+#: Pairs that are compared at a time, by sketches and by sets.
+BY_SKETCH, BY_SET = 1 << 15, 1 << 12
 _RANDOM = np.random.default_rng(SEED)
 _XOR, _TIMES = (_RANDOM.integers(0, 1 << 64, WORDS, np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
@@ -96,8 +99,8 @@ def _words(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, WORDS)
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], places: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, sketch, ...) to one row a table: (value, key, two fingerprints), or with the whole sketch instead."""
+def _dealt(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n, sketch) to one row a table: (value, key, two fingerprints, n)."""
     power = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
@@ -106,20 +109,17 @@ def _dealt(batches: Iterator[pa.RecordBatch], places: np.ndarray, whole: bool) -
             bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
             for t, at in enumerate(places):
                 value = pa.array((bits[:, at] @ power) + (np.int64(t) << np.int64(44)))
-                if whole:
-                    yield pa.record_batch([value, *part.columns], ["value", *part.schema.names])
-                else:
-                    two = words[:, [2 * t % WORDS, (2 * t + 1) % WORDS]].view(np.int64)
-                    yield pa.record_batch([value, part["key"], pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["value", "key", "w", "x"])
+                two = words[:, [2 * t % WORDS, (2 * t + 1) % WORDS]].view(np.int64)
+                yield pa.record_batch([value, part["key"], pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), part["n"].cast(pa.int32())], ["value", "key", "w", "x", "n"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list]:
-    """Columns of whole groups of a value, gathered to some GATHER rows, from rows sorted by value."""
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], gather: int = GATHER) -> Iterator[list]:
+    """Columns of whole groups of a value, gathered to some rows, from rows sorted by value."""
     rest: list | None = None
     for batch in batches:
         now = [_words(batch[c]) if c == "sketch" else batch[c].to_numpy(zero_copy_only=False) for c in names]
         rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        cut = np.flatnonzero(rest[0][1:] != rest[0][:-1]) if len(rest[0]) >= GATHER else []
+        cut = np.flatnonzero(rest[0][1:] != rest[0][:-1]) if len(rest[0]) >= gather else []
         if len(cut):
             yield [x[: cut[-1] + 1] for x in rest]
             rest = [x[cut[-1] + 1 :] for x in rest]
@@ -140,26 +140,34 @@ def _middle(w: np.ndarray, x: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+def _sized(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes may reach the similarity."""
+    return np.minimum(n, m) >= similarity * np.maximum(n, m)
+
+
+def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int], similarity: float | None = None) -> Iterator[pa.RecordBatch]:
     """Rows (value, key, w, x) sorted by value to near pairs (a, b, apart, kind).
 
-    kind 0: every near pair of a group; 1: some of an open group; 2: its members, as (value, key, 0).
+    kind 0: every near pair of a group; 1: some of an open group; 2: its members, as (value, key, n). With a similarity
+    rows also have the size n of their set, and pairs are left out whose sizes rule it out.
     """
 
     def out(a: np.ndarray, b: np.ndarray, apart: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32)), pa.array(kind.astype(np.int32))], ["a", "b", "apart", "kind"])
 
-    for value, key, w, x in _groups(batches, ("value", "key", "w", "x")):
+    for value, key, w, x, *sizes in _groups(batches, ("value", "key", "w", "x") + (("n",) if similarity else ())):
+        n = sizes[0] if similarity else np.zeros(len(key), np.int32)
         group = np.cumsum(np.r_[False, value[1:] != value[:-1]])
         size = np.bincount(group)
         several = size[group] > 1
-        value, key, w, x, group = value[several], key[several], w[several].view(np.uint64), x[several].view(np.uint64), group[several]
+        value, key, w, x, n, group = value[several], key[several], w[several].view(np.uint64), x[several].view(np.uint64), n[several], group[several]
         if not len(key):
             continue
         order = np.lexsort((gray_rank(w), group))
-        value, key, w, x, group = value[order], key[order], w[order], x[order], group[order]
+        value, key, w, x, n, group = value[order], key[order], w[order], x[order], n[order], group[order]
         dense = size[group] > DENSE
         apart_of = lambda a, b: np.bitwise_count(w[a] ^ w[b]).astype(np.int32) + np.bitwise_count(x[a] ^ x[b])  # noqa: E731,B023
+        sized = lambda a, b: _sized(n[a], n[b], similarity or 0)  # noqa: E731,B023
         found = []
         small = np.flatnonzero(~dense)
         if len(small):
@@ -167,11 +175,11 @@ def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int]) -> Iterator
             for a, b in index.pairs(near[0]):
                 a, b = small[a], small[b]
                 apart = apart_of(a, b)
-                ok = apart <= near[1]
+                ok = (apart <= near[1]) & sized(a, b)
                 found.append((a[ok], b[ok], apart[ok]))
         a = np.flatnonzero(dense[:-1] & (group[1:] == group[:-1])) if len(group) > 1 else np.zeros(0, np.int64)  # neighbours in Gray order
         apart = apart_of(a, a + 1)
-        ok = apart <= near[1]
+        ok = (apart <= near[1]) & sized(a, a + 1)
         found.append((a[ok], a[ok] + 1, apart[ok]))
         a, b, apart = (np.concatenate(c) for c in zip(*found, strict=True))
         crowded = np.bincount(group[a], minlength=len(size)) > CROWD * size
@@ -186,39 +194,77 @@ def _tried(batches: Iterator[pa.RecordBatch], near: tuple[int, int]) -> Iterator
             middle = _middle(w[rows], x[rows], group[rows])
             far = rows[middle != np.arange(len(rows))]
             hub = rows[middle[middle != np.arange(len(rows))]]
+            fit = sized(far, hub)
+            far, hub = far[fit], hub[fit]
             a, b, apart = np.r_[a[~many], of[first], far], np.r_[b[~many], to[first], hub], np.r_[apart[~many], d[first], apart_of(far, hub)]
         yield out(np.minimum(key[a], key[b]), np.maximum(key[a], key[b]), apart, opened[a])
         open_ = np.flatnonzero(opened)
-        yield out(value[open_], key[open_], np.zeros(len(open_)), np.full(len(open_), 2))
+        yield out(value[open_], key[open_], n[open_], np.full(len(open_), 2))
+
+
+def _common(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes that the sets a[i] and b[i] share, pairs sorted by a; a set's hashes are in order."""
+    out = np.zeros(len(a), np.int64)
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else []
+    for at, end in zip(starts, [*starts[1:], len(a)], strict=True):
+        one, others = sets[a[at]], sets[b[at:end]]
+        ends = np.cumsum([len(o) for o in others])
+        flat = np.concatenate(others)
+        shared = one[np.minimum(one.searchsorted(flat), len(one) - 1)] == flat
+        out[at:end] = np.add.reduceat(shared, np.r_[0, ends[:-1]], dtype=np.int64)
+    return out
 
 
-def _met(batches: Iterator[pa.RecordBatch], near: int, most: int, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], near: int, most: int, places: np.ndarray, similarity: float | None = None) -> Iterator[pa.RecordBatch]:
     """Rows (value, other, key, root, number, numbers, sketch) sorted by value to pairs of two components.
 
+    other: 0 for rows that are only met, 1 for those that also meet, 2 for those that only meet others.
     number: the table; numbers: all tables where the text is in such a group. A pair comes from the first table that it shares.
+    With a similarity rows also have their set, and of pairs that reach it those come that join components.
     """
     power = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
-    for batch in _groups(batches, ("value", "other", "key", "root", "number", "numbers", "sketch")):
-        value, other, key, root, number, numbers, sketches = batch
+    names = ("value", "other", "key", "root", "number", "numbers", "sketch")
+    step = BY_SET if similarity else BY_SKETCH
+    for value, *columns in _groups(batches, names + (("set",) if similarity else ()), GATHER_SETS if similarity else GATHER):
         group = np.cumsum(np.r_[False, value[1:] != value[:-1]])
-        order = np.lexsort((gray_rank(sketches[:, 0]), group))
-        group, other, key, root, number, numbers, sketches = (v[order] for v in (group, other, key, root, number, numbers, sketches))
+        order = np.lexsort((gray_rank(columns[5][:, 0]), group))
+        group, other, key, root, number, numbers, sketches, *sets = (v[order] for v in (group, *columns))
         bits = np.unpackbits(sketches.view(np.uint8), axis=1, bitorder="little")
         values = np.stack([bits[:, at] @ power for at in places], axis=1)
         in_table = np.zeros((len(key), len(places)), bool)
         in_table[np.repeat(np.arange(len(key)), [len(n) for n in numbers]), np.concatenate(numbers)] = True
         before = np.arange(len(places))[None] < number[:, None]
+        first, of = np.unique(root, return_index=True, return_inverse=True)[1:]
+        label = first[of]  # of each component, as far as it is known here
+        if similarity:
+            sets = np.fromiter((s.view(np.uint64) for s in sets[0]), object, len(key))
+            n = np.array([len(s) for s in sets])
         for a, b in GrayIndex(sketches[:, 0], group).pairs(near, np.flatnonzero(other)):
-            a, b = (v[(root[a] != root[b]) & (key[a] != key[b])] for v in (a, b))
-            for c in range(0, len(a), 1 << 15):
-                i, j = a[c : c + (1 << 15)], b[c : c + (1 << 15)]
+            ok = (label[a] != label[b]) & (key[a] != key[b]) & (other[b] != 2)
+            if similarity:
+                ok &= _sized(n[a], n[b], similarity)
+            a, b = a[ok], b[ok]
+            for c in range(0, len(a), BY_SKETCH):
+                i, j = a[c : c + BY_SKETCH], b[c : c + BY_SKETCH]
                 ok = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int32) <= most
                 i, j = i[ok], j[ok]
                 new = ~((values[i] == values[j]) & in_table[i] & before[i]).any(axis=1)
                 i, j = i[new], j[new]
-                low, high = np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
-                once = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)  # both may be outside the largest component
-                yield pa.record_batch([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], ["a", "b"])
+                for d in range(0, len(i), step):
+                    x, y = i[d : d + step], j[d : d + step]
+                    if similarity:
+                        x, y = (v[label[x] != label[y]] for v in (x, y))
+                        order = np.argsort(x, kind="stable")
+                        x, y = x[order], y[order]
+                        common = _common(sets, x, y)
+                        ok = common >= similarity * (n[x] + n[y] - common)
+                        x, y = x[ok], y[ok]
+                        once = np.unique(np.stack([label[x], label[y]], axis=1), axis=0, return_index=True)[1] if len(x) else []
+                        x, y = x[once], y[once]
+                        label = unite(label, x, y)
+                    low, high = np.minimum(key[x], key[y]), np.maximum(key[x], key[y])
+                    once = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)  # both may be outside the largest component
+                    yield pa.record_batch([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
@@ -233,28 +279,21 @@ def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHING
     """(u, root) for the keys that link: rows (key, text), prints (key, n, sketch) with one row a key."""
     places = tables(prints.count(), similarity)
     near = _most(similarity, 64, IN_TABLE[0]), _most(similarity, 128, IN_TABLE[1])
-    dealt = prints.select("key", "sketch").mapInArrow(partial(_dealt, places=places, whole=False), "value long, key long, w long, x long")
-    searched = dealt.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_tried, near=near), "a long, b long, apart int, kind int")
+    dealt = prints.select("key", "n", "sketch").mapInArrow(partial(_dealt, places=places), "value long, key long, w long, x long, n int")
+    searched = dealt.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_tried, near=near, similarity=similarity), "a long, b long, apart int, kind int")
     found = stored(searched, "near-pairs")
     # the more tables propose a pair, the more alike it is
     proposed = found.where("kind < 2").groupBy("a", "b").agg(F.count("*").alias("times"), F.min("apart").alias("apart"))
     sides = proposed.select("a", "b", "times", "apart", F.explode(F.array("a", "b")).alias("of"))
     nearest = Window.partitionBy("of").orderBy(F.desc("times"), "apart", "a", "b")
     first = stored(sides.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= NEAREST).select("a", "b").distinct(), "first-pairs")
-    sized = prints.select("key", "n")
-
-    def alike(some: DataFrame) -> DataFrame:
-        """Pairs whose sets' sizes allow the similarity."""
-        both = some.join(sized.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
-        return both.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b")
-
     pairs = found.where("kind = 0").select("a", "b").distinct()
     members = found.where("kind < 2").select(F.explode(F.array("a", "b")).alias("key")).unionByName(found.where("kind = 2").select(F.col("b").alias("key"))).distinct()
     sets = stored(rows.join(members, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(partial(_sets, shingle_words=shingle_words), "key long, set array<long>"), "sets")
 
     def linked(some: DataFrame) -> DataFrame:
         """Pairs (u, v) that reach the similarity; one side's sets travel once a text, the other's once a pair."""
-        one = alike(some).join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
+        one = some.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
         both = one.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         alike_enough = common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)
@@ -264,25 +303,30 @@ def similar_texts(rows: DataFrame, prints: DataFrame, shingle_words: int = SHING
     classes = stored(components(edges), "classes")
     root = lambda df, key, name: df.join(classes.select(F.col("u").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
     apart = lambda df: root(root(df, "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b")
-    later = apart(pairs)
+    later = apart(pairs).join(first, ["a", "b"], "left_anti")
     # groups with texts of several components: those outside the largest one meet every text of the group
-    open_ = stored(root(found.where("kind = 2").select(F.col("a").alias("value"), F.col("b").alias("key")), "key", "root"), "open")
+    open_ = stored(root(found.where("kind = 2").select(F.col("a").alias("value"), F.col("b").alias("key"), F.col("apart").alias("n")), "key", "root"), "open")
     of_root, of_value = Window.partitionBy("value", "root"), Window.partitionBy("value")
     sized_open = open_.repartition("value").withColumn("alike", F.count("*").over(of_root))
     most = F.max_by("root", F.struct("alike", "root")).over(of_value)
-    mixed = sized_open.select("value", "key", "root", most.alias("most"), F.count("*").over(of_value).alias("n"), F.min("root").over(of_value).alias("low"), F.max("root").over(of_value).alias("high")).where("low <> high")
-    mixed = mixed.withColumn("other", (F.col("root") != F.col("most")).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    block = F.when(F.col("other") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
-    # a text meets its sketch once, not once a table
+    mixed = sized_open.select("value", "key", "root", most.alias("most"), F.sum("n").over(of_value).alias("held"), F.min("root").over(of_value).alias("low"), F.max("root").over(of_value).alias("high")).where("low <> high")
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    # a text meets its sketch and its set once, not once a table
     number = F.shiftright("value", 44).cast("int").alias("number")
-    tables_of = mixed.groupBy("key").agg(F.collect_list(F.struct("value", "root", "other", "blocks", number)).alias("of"))  # as many as there are tables at most
-    spread = prints.select("key", "sketch").join(tables_of, "key").select("key", "sketch", F.array_distinct("of.number").alias("numbers"), F.inline("of"))
-    spread = spread.withColumn("block", F.explode(block)).select(F.xxhash64("value", "block").alias("value"), "other", "key", "root", "number", "numbers", "sketch")
-    met = spread.repartition("value").sortWithinPartitions("value").mapInArrow(partial(_met, near=_most(similarity, 64, ONCE[0]), most=_most(similarity, 64 * WORDS, ONCE[1]), places=places), "a long, b long")
-    later = stored(later.unionByName(met).distinct().join(first, ["a", "b"], "left_anti"), "later-pairs")
-    if not later.limit(1).count():
+    tables_of = mixed.groupBy("key").agg(F.collect_list(F.struct("value", "root", (F.col("root") != F.col("most")).alias("outside"), blocks.alias("blocks"), number)).alias("of"))  # as many as there are tables at most
+    spread = prints.select("key", "sketch").join(tables_of, "key").join(sets, "key").select("key", "sketch", "set", F.array_distinct("of.number").alias("numbers"), F.inline("of"))
+    # a large group is cut into blocks; in cell (i, j) the texts of block i outside its largest component meet block j
+    own, every = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    cell = lambda i, j, other: F.struct((i * F.col("blocks") + j).alias("cell"), F.lit(other).alias("other"))
+    here = F.transform(every, lambda i: cell(i, own, 0))
+    both = F.concat(F.array(cell(own, own, 1)), *(F.transform(F.filter(every, lambda i: i != own), f) for f in (lambda i: cell(i, own, 0), lambda j: cell(own, j, 2))))
+    spread = spread.select("value", "key", "root", "number", "numbers", "sketch", "set", F.inline(F.when(F.col("outside"), both).otherwise(here)))
+    spread = spread.withColumn("value", F.xxhash64("value", "cell")).drop("cell").repartition("value").sortWithinPartitions("value")
+    met = spread.mapInArrow(partial(_met, near=_most(similarity, 64, ONCE[0]), most=_most(similarity, 64 * WORDS, ONCE[1]), places=places, similarity=similarity), "a long, b long")
+    more = stored(linked(later).unionByName(met.select(F.col("a").alias("u"), F.col("b").alias("v"))), "more-links")
+    if not more.limit(1).count():
         return classes
-    return stored(components(edges.unionByName(linked(later))), "classes")
+    return stored(components(edges.unionByName(more)), "classes")
 
 
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
